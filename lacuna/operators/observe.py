@@ -169,3 +169,8 @@ def observed_ids(*tables: DataFrame) -> DataFrame:
 
 def unknown_to(c: Column, value: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(value))
+
+
+def inside_box(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """Rows inside a bounding box, borders included."""
+    return df.where(F.col("lon").between(xmin, xmax) & F.col("lat").between(ymin, ymax))
