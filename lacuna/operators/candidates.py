@@ -15,9 +15,9 @@ BY_PART, BY_GENUS = "국명부분일치", "동일속"
 
 def unmatched_vernacular(unmatched: DataFrame) -> Column:
     """The vernacular column, else the name column when it holds Hangul, without white space."""
-    own = names.vernacular_key(F.col("kor_name"))
-    other = F.when(F.col("sci_name").rlike("[가-힣]"), names.vernacular_key(F.col("sci_name"))).otherwise("")
-    return F.coalesce(F.nullif(own, F.lit("")), other)
+    kor, sci = unmatched["kor_name"], unmatched["sci_name"]
+    text = F.when(kor.rlike(r"(?U)\S"), kor).when(sci.rlike("[가-힣]"), sci).otherwise("")
+    return names.vernacular_key(text)
 
 
 def _parts(text: str) -> Column:

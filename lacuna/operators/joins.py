@@ -27,7 +27,7 @@ def planned_small(df: DataFrame) -> bool:
         spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
     )
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str]) -> list[tuple]:

@@ -91,7 +91,7 @@ CHECK_WHERE = "p_size % 10 <> 0"
 # Rating rows: names as a threatened-species table writes them, grades in several spellings.
 RATED = {
     "_ord": "p_partkey",
-    "sci_name": f"concat({genus('p_partkey + 4 * (p_partkey % 3)')}, ' ', {species('p_partkey + 4 * (p_partkey % 3)')}, ' Auth.')",
+    "sci_name": f"concat({genus('p_partkey + 4 * (p_partkey % 3)')}, ' ', {species('p_partkey + 4 * (p_partkey % 3)')}, CASE WHEN p_partkey % 4 = 3 THEN concat(' ss', {letters('p_partkey % 10')}) ELSE '' END, ' Auth.')",
     "kor_name": f"CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {vernacular('p_partkey')} END",
     "grade": "CASE p_size WHEN 1 THEN 'Ⅰ급' WHEN 2 THEN '1' WHEN 3 THEN ' I' WHEN 4 THEN 'Ⅱ' WHEN 5 THEN 'ii 급' WHEN 6 THEN '2' WHEN 7 THEN '' ELSE '기타 급' END",
     "redlist": _RED,
@@ -167,6 +167,20 @@ OCC = {
     "taxonKey": "l_suppkey",
 }
 
+# Names left without a match, with the number of discarded records as text.
+UNMATCHED = {
+    "sci_name": (
+        f"CASE c_custkey % 4 WHEN 0 THEN concat('Gn', {letters('c_custkey % 197')}, ' ignota') "
+        f"WHEN 1 THEN concat({hangul('c_custkey % 70')}, ' 나무') ELSE '' END"
+    ),
+    "kor_name": (
+        f"CASE WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 8 = 2 THEN concat('큰', {hangul('c_custkey % 90')}, '나무이끼벌레') "
+        f"WHEN c_custkey % 8 = 3 THEN {hangul('c_custkey % 10')} ELSE concat({hangul('c_custkey % 90')}, '나', ' 무') END"
+    ),
+    "n_text": "CASE WHEN c_custkey % 9 = 0 THEN '?' ELSE CAST(c_nationkey AS STRING) END",
+    "_ord": "c_custkey",
+}
+
 # Text lines: three per part, in volumes of 1,500 consecutive lines.
 _LABEL = (
     "CASE p_size % 5 WHEN 0 THEN '연체동물' WHEN 1 THEN '관속식물' WHEN 2 THEN '곤충1' WHEN 3 THEN '조류' ELSE '포유류' END"
@@ -262,6 +276,9 @@ class Inputs:
     def occ(self) -> DataFrame:
         return self.table("lineitem").selectExpr(*exprs(OCC))
 
+    def unmatched(self) -> DataFrame:
+        return self.table("customer").selectExpr(*exprs(UNMATCHED))
+
     def lines(self) -> DataFrame:
         """The three lines of a part are produced by one scan."""
         doc = LINES["doc"]
@@ -309,6 +326,7 @@ def duck_views() -> str:
         "v_obs": f"SELECT {select_list(OBS)} FROM lineitem",
         "v_survey": f"SELECT {select_list(SURVEY)} FROM lineitem",
         "v_occ": f"SELECT {select_list(OCC)} FROM lineitem",
+        "v_unmatched": f"SELECT {select_list(UNMATCHED)} FROM customer",
         "v_lines": lines,
         "v_cell": f"SELECT {select_list(CELL)} FROM nation",
         "v_edge": edges,
