@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.plans import checklists, regions, scalars, scans  # noqa: F401
+from lacuna.plans import checklists, environment, gaps, regions, scalars, scans  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.session import scratch_path
+
 
 def letters(e: str) -> str:
     return f"translate(CAST({e} AS STRING), '0123456789', 'abcdefghij')"
@@ -277,7 +279,10 @@ class Inputs:
         return self.table("lineitem").selectExpr(*exprs(OCC))
 
     def unmatched(self) -> DataFrame:
-        return self.table("customer").selectExpr(*exprs(UNMATCHED))
+        """Written and read back, as the discard list is between two stages."""
+        path = scratch_path(self.spark, "unmatched")
+        self.table("customer").selectExpr(*exprs(UNMATCHED)).write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def lines(self) -> DataFrame:
         """The three lines of a part are produced by one scan."""
