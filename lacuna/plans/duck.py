@@ -51,6 +51,11 @@ def listed_key(x: str, n: int) -> str:
     return f"CASE WHEN len({w}) >= {n} THEN lower(array_to_string(({w})[1:{n}], ' ')) END"
 
 
+def half_even(x: str, digits: int) -> str:
+    """Half-even rounding of the decimal form; on doubles the engine rounds a scaled binary value."""
+    return f"CAST(round_even(CAST({x} AS DECIMAL(28, 12)), {digits}) AS DOUBLE)"
+
+
 CODES = "['CR','EN','VU','NT','LC','DD','RE','EW','EX','NA','NE']"
 LABELS = "['연체동물','거미','관속식물','곤충1','곤충2','곤충3','조류','어류','포유류','파충류','양서류']"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import geo
 from lacuna.operators import env, observe
+from lacuna.plans.duck import half_even
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
 
@@ -29,14 +30,14 @@ def raster_sample(i: Inputs) -> DataFrame:
 
 
 def _stats_sql(source: str, keys: str, digits: int, sd: bool) -> str:
-    q = ", ".join(
-        f"round_even(quantile_cont(value, {p}), {digits}) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    )
-    tail = f", round_even(CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END, {digits}) AS sd" if sd else ""
-    return (
-        f"SELECT {keys}, count(*) AS n, round_even(min(value), {digits}) AS min, {q}, round_even(max(value), {digits}) AS max, "
-        f"round_even(avg(value), {digits}) AS mean{tail} FROM {source} WHERE value IS NOT NULL AND isfinite(value) GROUP BY {keys}"
-    )
+    shown = {
+        "min": "min(value)", "q1": "quantile_cont(value, 0.25)", "median": "quantile_cont(value, 0.5)",
+        "q3": "quantile_cont(value, 0.75)", "max": "max(value)", "mean": "avg(value)",
+    }
+    if sd:
+        shown["sd"] = "CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END"
+    rounded = ", ".join(f"{half_even(e, digits)} AS {n}" for n, e in shown.items())
+    return f"SELECT {keys}, count(*) AS n, {rounded} FROM {source} WHERE value IS NOT NULL AND isfinite(value) GROUP BY {keys}"
 
 
 @query("species_env_stats", _SAMPLED + " " + _stats_sql("sm", "ktsn, var", 2, True))
@@ -63,7 +64,7 @@ _QUANT = f", gq AS (SELECT var, {_GQ}, min(value) AS min, max(value) AS max, cou
 
 @query(
     "grid_quantiles",
-    _QUANT + " SELECT var, " + ", ".join(f"round_even({n}, 1) AS {n}" for n in (*env.GRID_PROBS, "min", "max")) + ", n FROM gq",
+    _QUANT + " SELECT var, " + ", ".join(f"{half_even(n, 1)} AS {n}" for n in (*env.GRID_PROBS, "min", "max")) + ", n FROM gq",
 )
 def grid_quantiles(i: Inputs) -> DataFrame:
     return env.grid_quantiles(i.raster())
@@ -123,11 +124,11 @@ def colour_ramp(i: Inputs) -> DataFrame:
     _SAMPLED
     + ", st AS ("
     + _stats_sql("sm", "ktsn, var", 2, True)
-    + """), un AS (
+    + f"""), un AS (
       SELECT ktsn, CASE var WHEN 'bio01' THEN 0 WHEN 'bio12' THEN 1 ELSE 2 END AS v, var,
         unnest([0, 1, 2, 3, 4, 5, 6]) AS k, unnest([min, q1, median, q3, max, mean, sd]) AS x FROM st)
     , slots AS (SELECT DISTINCT ktsn, unnest(range(0, 21)) AS slot FROM st)
-    SELECT s.ktsn, CAST(s.slot AS INT) AS slot, coalesce(CASE u.var WHEN 'bio01' THEN round_even(u.x, 1) WHEN 'bio12' THEN round_even(u.x, 0) ELSE round_even(u.x, 0) END, -1) AS x
+    SELECT s.ktsn, CAST(s.slot AS INT) AS slot, coalesce(CASE u.var WHEN 'bio01' THEN {half_even('u.x', 1)} ELSE {half_even('u.x', 0)} END, -1) AS x
     FROM slots s LEFT JOIN un u ON u.ktsn = s.ktsn AND u.v * 7 + u.k = s.slot""",
 )
 def env_vector(i: Inputs) -> DataFrame:

@@ -164,7 +164,8 @@ def province_of_region(i: Inputs) -> DataFrame:
 
 @query(
     "round_by_dec",
-    """SELECT var, "row", col, CASE var WHEN 'bio01' THEN round_even(value, 1) WHEN 'dem' THEN round_even(value, 2) ELSE round_even(value, 0) END AS value
+    f"""SELECT var, "row", col, CASE var WHEN 'bio01' THEN {duck.half_even('value', 1)} WHEN 'dem' THEN {duck.half_even('value', 2)}
+      ELSE {duck.half_even('value', 0)} END AS value
     FROM v_raster WHERE value IS NOT NULL""",
 )
 def round_by_dec(i: Inputs) -> DataFrame:

@@ -205,7 +205,7 @@ LINE_TEXT = {
     ),
     2: (
         "CASE WHEN p_partkey % 7 = 0 THEN concat('• ', CAST(p_partkey AS STRING)) WHEN p_partkey % 3 = 0 THEN 'CR. B1ab(iii)' "
-        f"WHEN p_partkey % 8 = 2 THEN concat({hangul('p_partkey')}, '벌레 ', {_NAME}, ' (Bates, 1866)NT LC -', CAST(p_partkey AS STRING)) "
+        f"WHEN p_partkey % 8 = 2 THEN concat({hangul('p_partkey')}, '벌레 ', {genus('p_partkey')}, ' nova', {letters('p_partkey')}, ' (Bates, 1866)NT LC -', CAST(p_partkey AS STRING)) "
         "ELSE concat('Hist. ', p_name) END"
     ),
 }
