@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import geo, values
 from lacuna.operators.joins import sized, spread_join
 from lacuna.operators.quantiles import summarise
+from lacuna.session import staged
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 GRID_PROBS = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
@@ -36,21 +37,26 @@ def sample_cells(
 ) -> DataFrame:
     """Points × variables with the value of the containing cell.
 
-    Each distinct position is projected and matched once; only cells that hold a position survive the
-    first join, so the raster is never carried along with the points.
+    Each distinct position is projected and matched once, and its values are kept as a table; the raster
+    itself is never carried along with the points.
     """
     coords = points.where("lon IS NOT NULL").select("lon", "lat").distinct()
     x, y = geo.tm_xy(F.col("lon"), F.col("lat"), project) if project else (F.col("lon"), F.col("lat"))
     placed = coords.withColumn("row", affine.row(y)).withColumn("col", affine.col(x))
     # Many positions may share one cell, and each cell has one row per variable.
-    sampled = placed.join(cells, ["row", "col"]).select("lon", "lat", "var", "value")
+    sampled = staged(placed.join(cells, ["row", "col"]).select("lon", "lat", "var", "value"), "sampled")
     spread_on = [c for c in points.columns if c not in ("lon", "lat")] or ["lon"]
     return spread_join(points.where("lon IS NOT NULL"), sampled, ["lon", "lat"], spread_on, "inner")
 
 
+def species_sites(points: DataFrame) -> DataFrame:
+    """Points counted per species and position: all that the statistics need of them."""
+    return points.where("lon IS NOT NULL").groupBy("ktsn", "lon", "lat").agg(F.count(F.lit(1)).alias("n_points"))
+
+
 def species_stats(samples: DataFrame, digits: int, with_sd: bool = True) -> DataFrame:
-    """n, min, quartiles, max, mean (and sd) per species and variable on finite values."""
-    stats = summarise(samples, ["ktsn", "var"], "value", QUARTILES)
+    """n, min, quartiles, max, mean (and sd) per species and variable on finite values of sampled sites."""
+    stats = summarise(samples, ["ktsn", "var"], "value", QUARTILES, weight="n_points")
     names = ["min", "q1", "median", "q3", "max", "mean"] + (["sd"] if with_sd else [])
     return stats.select("ktsn", "var", "n", *[F.bround(n, digits).alias(n) for n in names])
 
@@ -112,7 +118,7 @@ def coloured_cells(cells: DataFrame, quantiles: DataFrame, palette: str) -> Data
     """r, g, b, a per cell between the 1st and 99th percentile of its variable."""
     limits = quantiles.select("var", F.col("p01").alias("vmin"), F.col("p99").alias("vmax"))
     rgba = geo.colour_ramp(F.col("value"), F.col("vmin"), F.col("vmax"), palette)
-    joined = spread_join(cells, sized(limits, 10_000), ["var"], ["row", "col"], "inner")
+    joined = cells.join(sized(limits, 10_000), "var")
     return joined.select("var", "row", "col", *[c.alias(n) for n, c in rgba.items()])
 
 

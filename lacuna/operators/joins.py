@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A table is hinted for broadcast only when a count proved it has at most this many rows.
@@ -12,6 +12,8 @@ BROADCAST_ROWS = 200_000
 # A key is hot when it holds at least this share of all rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 64
 SALTS = 256
+# Counters of the heavy-hitter sketch; far more than 1 / HOT_SHARE, so its error is a small part of a hot count.
+SKETCH_ITEMS = 10_000
 
 
 def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -30,12 +32,18 @@ def planned_small(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str]) -> list[tuple]:
-    """Keys holding at least HOT_SHARE of the rows; never more than 1 / HOT_SHARE of them."""
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.count()
-    top = counts.where(F.col("_n") >= F.lit(total * HOT_SHARE)).orderBy(F.desc("_n")).limit(int(1 / HOT_SHARE))
-    return [tuple(row[k] for k in keys) for row in top.collect()]
+def hot_hashes(facts: DataFrame, hashed: Column) -> list[int]:
+    """Hashes of the keys holding at least HOT_SHARE of the rows, from one narrow pass without a shuffle.
+
+    The sketch may overstate a count, never hide such a key; a key salted needlessly only costs copies.
+    """
+    top = int(1 / HOT_SHARE)
+    row = (
+        facts.select(hashed.alias("_h"))
+        .agg(F.expr(f"approx_top_k(_h, {top}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n"))
+        .first()
+    )
+    return [item.item for item in row.top if item["count"] >= row.n * HOT_SHARE]
 
 
 def spread_join(
@@ -47,30 +55,21 @@ def spread_join(
 ) -> DataFrame:
     """Join `facts` with `dim` (few rows per key) without sending a hot key to one task.
 
-    A small `dim` is left to Catalyst, which broadcasts it. Otherwise hot keys are found by a counted
-    pass; rows of a hot key get a salt from a hash of `spread_on` (the same on every retry), and only
-    the `dim` rows of hot keys are repeated once per salt.
+    A `dim` Catalyst holds for small is left to it: it is broadcast and nothing is shuffled. Otherwise hot
+    keys are looked for; rows of a hot key get a salt from a hash of `spread_on` (the same on every retry),
+    and only the `dim` rows of hot keys are repeated once per salt.
     """
     keys = list(keys)
     if planned_small(dim):
         return facts.join(dim, keys, how)
-    hot = hot_keys(facts, keys)
+    kinds = {k: dim.schema[k].dataType for k in keys}
+    hashed = F.xxhash64(*[F.col(f"`{k}`").cast(kinds[k]) for k in keys])
+    hot = hot_hashes(facts, hashed)
     if not hot:
         return facts.join(dim, keys, how)
-
-    def is_hot(df: DataFrame):
-        test = F.lit(False)
-        for key in hot:
-            same = F.lit(True)
-            for name, value in zip(keys, key):
-                same = same & df[name].eqNullSafe(F.lit(value))
-            test = test | same
-        return test
-
-    salted = facts.withColumn(
-        "_salt",
-        F.when(is_hot(facts), F.pmod(F.xxhash64(*spread_on), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
-    )
-    copies = F.when(is_hot(dim), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = hashed.isin(hot)
+    salt = F.pmod(F.xxhash64(*spread_on), F.lit(SALTS))
+    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = dim.withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import names, values
 from lacuna.operators.checklist import TAXON_GROUPS
 from lacuna.operators.joins import spread_join
 from lacuna.operators.ranking import number_rows
+from lacuna.session import staged
 
 # Mammal orders and families that live in the sea.
 MARINE_ORDERS = ("Cetacea",)
@@ -47,7 +50,7 @@ def in_service(rows: DataFrame, flags: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("taxon_group", F.lit("")) != "").join(out, "ktsn", "left_anti")
 
 
-def group_order(group) -> object:
+def group_order(group: Column) -> Column:
     order = F.lit(len(TAXON_GROUPS))
     for i, code in enumerate(TAXON_GROUPS):
         order = F.when(group == code, i).otherwise(order)
@@ -116,24 +119,35 @@ def dense_index(rows: DataFrame, value: str, order: str = "_ord", group: str = "
     return number_rows(first, [group], "_first", "idx", ties=[value]).drop("_first")
 
 
-def encode_observations(rows: DataFrame, order: str = "_ord") -> DataFrame:
-    """Rows with species and region replaced by their dictionary index and the year by 0 when unknown."""
-    species = dense_index(rows, "ktsn", order).withColumnRenamed("idx", "k_idx")
-    regions = dense_index(rows, "region", order).withColumnRenamed("idx", "s_idx")
+@dataclass(frozen=True)
+class Encoded:
+    """Dictionary-encoded observations with their species and region dictionaries."""
+
+    rows: DataFrame
+    species: DataFrame
+    regions: DataFrame
+
+
+def encode_observations(rows: DataFrame, order: str = "_ord") -> Encoded:
+    """Species and region replaced by their dictionary index, the year by 0 when unknown.
+
+    The dictionaries are written first: both directions read them, and their size decides the joins.
+    """
+    species = staged(dense_index(rows, "ktsn", order), "species-index")
+    regions = staged(dense_index(rows, "region", order), "region-index")
     spread_on = [c for c in rows.columns if c not in ("taxon_group", "region")]
-    coded = spread_join(rows, species, ["taxon_group", "ktsn"], spread_on, "inner")
-    coded = spread_join(coded, regions, ["taxon_group", "region"], spread_on, "inner")
-    return coded.select(
-        "taxon_group", "k_idx", "s_idx", F.coalesce("year", F.lit(0)).alias("year"), "obs_count"
-    )
+    coded = spread_join(rows, species.withColumnRenamed("idx", "k_idx"), ["taxon_group", "ktsn"], spread_on, "inner")
+    coded = spread_join(coded, regions.withColumnRenamed("idx", "s_idx"), ["taxon_group", "region"], spread_on, "inner")
+    shown = coded.select("taxon_group", "k_idx", "s_idx", F.coalesce("year", F.lit(0)).alias("year"), "obs_count")
+    return Encoded(shown, species, regions)
 
 
-def decode_observations(coded: DataFrame, species: DataFrame, regions: DataFrame) -> DataFrame:
+def decode_observations(coded: Encoded) -> DataFrame:
     """Inverse of encode_observations; the year 0 becomes unknown (NULL)."""
-    k = species.withColumnRenamed("idx", "k_idx")
-    s = regions.withColumnRenamed("idx", "s_idx")
-    spread_on = coded.columns
-    out = spread_join(coded, k, ["taxon_group", "k_idx"], spread_on, "inner")
+    k = coded.species.withColumnRenamed("idx", "k_idx")
+    s = coded.regions.withColumnRenamed("idx", "s_idx")
+    spread_on = coded.rows.columns
+    out = spread_join(coded.rows, k, ["taxon_group", "k_idx"], spread_on, "inner")
     out = spread_join(out, s, ["taxon_group", "s_idx"], spread_on, "inner")
     return out.select("taxon_group", "ktsn", "region", F.nullif(F.col("year"), F.lit(0)).alias("year"), "obs_count")
 

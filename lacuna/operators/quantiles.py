@@ -13,23 +13,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.joins import spread_join
+from lacuna.session import staged
 
 BUCKETS = 1024
 
 
-def finite_counts(samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Finite values with their number of rows per group."""
+def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Finite values with their number of rows (or summed weight) per group."""
     v = F.col(value)
     usable = samples.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return usable.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return usable.groupBy(*keys, v.alias("_v")).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")
+    )
 
 
 def summarise(
-    samples: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS
-) -> DataFrame:
+    samples: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS,
+    weight: str | None = None,
+) -> DataFrame:
     """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles."""
     keys = list(keys)
-    counts = finite_counts(samples, keys, value)
+    counts = staged(finite_counts(samples, keys, value, weight), "value-counts")
     totals = counts.groupBy(*keys).agg(
         F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
         (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),

@@ -82,7 +82,7 @@ def unwrap_records(lines: DataFrame) -> DataFrame:
 
     The record a line belongs to is carried forward chunk by chunk, so a long document is no single task.
     """
-    marked = lines.withColumn("_start", starts_record(F.col("line")))
+    marked = _settled(lines, starts_record(F.col("line")).alias("_start"))
     owned = carry_forward(
         marked, ["doc"], "line_no", F.when(F.col("_start"), F.col("line_no")), "start_no"
     )
@@ -104,26 +104,31 @@ def _first_true(flags: Column, otherwise: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(flags, F.lit(True)), F.lit(0)), otherwise)
 
 
+def _settled(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns through a generator, so that a later filter on them is not copied below their parts."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def _name_fields(df: DataFrame, first: int) -> DataFrame:
-    """Add kor, sci and codes for token arrays whose vernacular starts at 1-based position `first`."""
-    rest = F.slice("toks", first, F.greatest(F.size("toks"), F.lit(1)))
-    df = df.withColumn("_rest", rest)
+    """Add kor_name, sci_name and codes for token arrays whose vernacular starts at 1-based position `first`."""
+    df = df.withColumn("_rest", F.slice("toks", first, F.greatest(F.size("toks"), F.lit(1))))
     after_kor = _first_true(F.transform("_rest", lambda t: ~_has_hangul(t)), F.size("_rest") + 1)
     df = df.withColumn("_i", after_kor.cast("int"))
     df = df.withColumn("_tail", F.slice("_rest", F.col("_i"), F.greatest(F.size("_rest"), F.lit(1))))
-    code_at = _first_true(F.transform("_tail", lambda t: _code_of(t).isin(*CODES)), F.size("_tail") + 1)
+    df = df.withColumn("_bare", F.transform("_tail", _code_of))
+    code_at = _first_true(F.transform("_bare", lambda t: t.isin(*CODES)), F.size("_bare") + 1)
     df = df.withColumn("_j", code_at.cast("int"))
-    return df.select(
-        "*",
+    return _settled(
+        df,
         F.array_join(F.slice("_rest", F.lit(1), F.col("_i") - 1), " ").alias("kor_name"),
         F.array_join(F.slice("_tail", F.lit(1), F.col("_j") - 1), " ").alias("sci_name"),
-        F.filter(F.transform("_tail", _code_of), lambda t: t.isin(*CODES)).alias("codes"),
-    ).drop("_rest", "_i", "_tail", "_j")
+        F.filter("_bare", lambda t: t.isin(*CODES)).alias("codes"),
+    ).drop("_rest", "_i", "_tail", "_bare", "_j")
 
 
 def tagged_records(records: DataFrame) -> DataFrame:
     """Records with their fields and `reason`: NULL when they parse, else why they do not."""
-    toks = records.withColumn("toks", tokens(unglue(F.col("record"))))
+    toks = _settled(records, tokens(unglue(F.col("record"))).alias("toks"))
     fields = _name_fields(toks, 2)
     data = (F.size("toks") >= 4) & F.coalesce(F.get("toks", F.lit(0)).isin(*LABELS), F.lit(False))
     reason = (
@@ -151,7 +156,7 @@ def parse_failures(records: DataFrame) -> DataFrame:
 
 def parse_insect_lines(lines: DataFrame) -> DataFrame:
     """(sci_name, kor_name, code) of lines that open in Hangul and end in a page number; the first code counts."""
-    toks = lines.withColumn("toks", tokens(unglue(F.col("line"))))
+    toks = _settled(lines, tokens(unglue(F.col("line"))).alias("toks"))
     shaped = toks.where(
         (F.size("toks") >= 3)
         & F.element_at("toks", -1).rlike(r"^-*\d+$")

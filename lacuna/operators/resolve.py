@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import names
-from lacuna.operators.joins import planned_small, spread_join
+from lacuna.operators.joins import planned_small, sized, spread_join
 
 VERDICTS = ("override", "both", "sci", "kor", "conflict", "none")
 MATCHED = ("override", "both", "sci", "kor")
@@ -59,6 +59,7 @@ def _side(lookup: DataFrame, key_type: str, key: str, out: str) -> DataFrame:
 def judge(pairs: DataFrame, lookup: DataFrame, overrides: DataFrame) -> DataFrame:
     """Add ktsn, how, ktsn_sci, ktsn_kor to rows carrying sci_key and kor_key ('' = missing)."""
     out = pairs
+    overrides = sized(overrides)
     for table, kind, key, name in (
         (overrides, "sci", "sci_key", "_ov_sci"),
         (overrides, "kor", "kor_key", "_ov_kor"),
@@ -93,12 +94,13 @@ def resolve_names(
     Small lookups are probed in place, without moving the observations. Large ones are probed once per
     distinct name pair, so that the observations are moved once instead of once per lookup.
     """
-    keyed = with_name_keys(obs, sci, kor)
     if planned_small(lookup):
-        return judge(keyed, lookup, overrides).drop("sci_key", "kor_key")
-    pairs = judge(keyed.select("sci_key", "kor_key").distinct(), lookup, overrides)
-    spread_on = [c for c in obs.columns]
-    return spread_join(keyed, pairs, ["sci_key", "kor_key"], spread_on).drop("sci_key", "kor_key")
+        return judge(with_name_keys(obs, sci, kor), lookup, overrides).drop("sci_key", "kor_key")
+    columns = [sci] + ([kor] if kor else [])
+    # '' and NULL both mean a missing name; one form lets the names be joined back.
+    filled = obs.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+    pairs = judge(with_name_keys(filled.select(*columns).distinct(), sci, kor), lookup, overrides)
+    return spread_join(filled, pairs.drop("sci_key", "kor_key"), columns, obs.columns)
 
 
 def coverage_report(
@@ -107,14 +109,13 @@ def coverage_report(
 ) -> DataFrame:
     """Totals, verdict counts, match rate and year range per source.
 
-    Rows are counted per name pair before the lookups are probed, so the joins see names, not records.
+    Rows are counted per name pair first: keys are computed and lookups probed per name, not per record.
     """
-    counted = (
-        with_name_keys(obs, sci, kor)
-        .groupBy(by, "sci_key", "kor_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(year).alias("y0"), F.max(year).alias("y1"))
+    columns = [by, sci] + ([kor] if kor else [])
+    counted = obs.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("n"), F.min(year).alias("y0"), F.max(year).alias("y1")
     )
-    judged = judge(counted, lookup, overrides)
+    judged = judge(with_name_keys(counted, sci, kor), lookup, overrides)
     n = F.col("n")
     matched = F.col("how").isin(*MATCHED)
     return judged.groupBy(by).agg(

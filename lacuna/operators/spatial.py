@@ -8,12 +8,14 @@ polygons are never materialised and nothing is grouped per point.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.geo import EPSG_5179, TransverseMercator, tm_xy
-from lacuna.operators.joins import sized, spread_join
+from lacuna.operators.joins import spread_join
+from lacuna.session import staged
 
 UNKNOWN_PROVINCE = "미상"
 UNKNOWN_DISTRICT = "00000"
@@ -51,25 +53,26 @@ def within_index(edges: DataFrame, size: float = 0.25) -> DataFrame:
     cell's full height always do and are folded into `base`.
     """
     check_cell_size(size)
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = edges.withColumns(
-        {"xl": F.least("x1", "x2"), "xh": F.greatest("x1", "x2"), "yl": lo, "yh": hi}
-    )
+    e = edges.select(
+        "code", "ord", "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xl"), F.greatest("x1", "x2").alias("xh"),
+        F.least("y1", "y2").alias("yl"), F.greatest("y1", "y2").alias("yh"),
+    )
     banded = e.withColumn("cy", F.explode(F.sequence(cell_of(F.col("yl"), size), cell_of(F.col("yh"), size))))
-    extent = banded.groupBy("code", "ord", "cy").agg(F.min("xl").alias("x0"), F.max("xh").alias("x1"))
-    cells = extent.select(
-        "code", "ord", "cy",
-        F.explode(F.sequence(cell_of(F.col("x0"), size), cell_of(F.col("x1"), size))).alias("cx"),
+    bands = banded.groupBy("code", "ord", "cy").agg(
+        F.min("xl").alias("x0"), F.max("xh").alias("x9"),
+        F.collect_list(F.struct("x1", "y1", "x2", "y2", "xl", "xh", "yl", "yh")).alias("all_edges"),
     )
-    met = cells.join(banded, ["code", "ord", "cy"]).where(F.col("xh") >= F.col("cx") * size)
-    always = (
-        (F.col("xl") > (F.col("cx") + 1) * size)
-        & (F.col("yl") <= F.col("cy") * size)
-        & (F.col("yh") >= (F.col("cy") + 1) * size)
-    )
-    per_polygon = met.groupBy("cx", "cy", "code", "ord").agg(
-        F.count_if(always).alias("base"),
-        F.collect_list(F.when(~always, F.struct("x1", "y1", "x2", "y2"))).alias("edges"),
+    cells = bands.withColumn("cx", F.explode(F.sequence(cell_of(F.col("x0"), size), cell_of(F.col("x9"), size))))
+    left, right = F.col("cx") * size, (F.col("cx") + 1) * size
+    low, high = F.col("cy") * size, (F.col("cy") + 1) * size
+
+    def always(g: Column) -> Column:
+        return (g["xl"] > right) & (g["yl"] <= low) & (g["yh"] >= high)
+
+    near = F.filter("all_edges", lambda g: (g["xh"] >= left) & ~always(g))
+    kept = F.transform(near, lambda g: F.struct(*[g[c].alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    per_polygon = cells.select(
+        "cx", "cy", "ord", "code", F.size(F.filter("all_edges", always)).alias("base"), kept.alias("edges")
     )
     return per_polygon.groupBy("cx", "cy").agg(
         F.sort_array(F.collect_list(F.struct("ord", "code", "base", "edges"))).alias("polygons")
@@ -97,15 +100,18 @@ def _inside(p: Column, x: Column, y: Column) -> Column:
     return (met % 2 == 1) & ~F.exists(p["edges"], lambda e: _touches(e, x, y))
 
 
+def _nowhere(spread_on: list[str]) -> Column:
+    """Cell numbers no polygon has, spread by hash, for rows that need no lookup."""
+    return F.lit(-(2**40)) - F.pmod(F.xxhash64(*spread_on), F.lit(4096))
+
+
 def region_within(points: DataFrame, index: DataFrame, size: float = 0.25, out: str = "region") -> DataFrame:
     """Add the first polygon strictly containing (lon, lat); NULL outside, on an edge, or without coordinates."""
     x, y = F.col("lon"), F.col("lat")
-    # Rows without coordinates get cells of their own, spread by hash, that no polygon has.
-    nowhere = F.lit(-(2**40)) - F.pmod(F.xxhash64(*points.columns), F.lit(4096))
-    keyed = points.withColumn("cx", F.coalesce(cell_of(x, size), nowhere)).withColumn(
+    keyed = points.withColumn("cx", F.coalesce(cell_of(x, size), _nowhere(points.columns))).withColumn(
         "cy", F.coalesce(cell_of(y, size), F.lit(0))
     )
-    joined = spread_join(keyed, sized(index), ["cx", "cy"], points.columns)
+    joined = spread_join(keyed, index, ["cx", "cy"], points.columns)
     hit = F.filter("polygons", lambda p: _inside(p, x, y))
     return joined.withColumn(out, F.get(hit, F.lit(0))["code"]).drop("cx", "cy", "polygons")
 
@@ -142,14 +148,20 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 def region_nearest(
     points: DataFrame, index: DataFrame, reach: float = NEAR_METRES, out: str = "region",
-    grid: TransverseMercator = EPSG_5179,
+    grid: TransverseMercator = EPSG_5179, needed: Column | None = None,
 ) -> DataFrame:
-    """Add the polygon nearest to (lon, lat) within `reach` metres (distance to 1 mm, ties by ordinal)."""
+    """Add the polygon nearest to (lon, lat) within `reach` metres (distance to 1 mm, ties by ordinal).
+
+    Only rows where `needed` holds are projected and looked up.
+    """
+    wanted = F.col("lon").isNotNull() if needed is None else needed & F.col("lon").isNotNull()
     px, py = tm_xy(F.col("lon"), F.col("lat"), grid)
-    keyed = points.withColumn("px", px).withColumn("py", py)
-    keyed = keyed.withColumn("mx", cell_of(F.col("px"), reach)).withColumn("my", cell_of(F.col("py"), reach))
-    joined = spread_join(keyed, sized(index), ["mx", "my"], points.columns)
-    x, y = F.col("px"), F.col("py")
+    keyed = points.withColumn("_m", F.when(wanted, F.struct(px.alias("x"), py.alias("y"))))
+    x, y = F.col("_m.x"), F.col("_m.y")
+    keyed = keyed.withColumn("mx", F.coalesce(cell_of(x, reach), _nowhere(points.columns))).withColumn(
+        "my", F.coalesce(cell_of(y, reach), F.lit(0))
+    )
+    joined = spread_join(keyed, index, ["mx", "my"], points.columns)
     ranked = F.transform(
         "near_edges",
         lambda e: F.struct(
@@ -159,30 +171,38 @@ def region_nearest(
         ),
     )
     best = F.array_min(ranked)
-    return joined.withColumn(out, F.when(best["d"] <= reach, best["code"])).drop(
-        "px", "py", "mx", "my", "near_edges"
-    )
+    return joined.withColumn(out, F.when(best["d"] <= reach, best["code"])).drop("_m", "mx", "my", "near_edges")
+
+
+@dataclass(frozen=True)
+class RegionIndex:
+    """Cell tables of one set of boundaries, written once so that their size is known to the planner."""
+
+    within: DataFrame
+    nearest: DataFrame | None
+    size: float
+    reach: float
+
+
+def build_index(edges: DataFrame, size: float = 0.25, reach: float | None = NEAR_METRES) -> RegionIndex:
+    """`reach` None leaves out the nearest-polygon fallback."""
+    near = None if reach is None else staged(nearest_index(edges, reach), "nearest-index")
+    return RegionIndex(staged(within_index(edges, size), "within-index"), near, size, reach or 0.0)
 
 
 def assign_region(
-    points: DataFrame, edges: DataFrame, size: float = 0.25, reach: float | None = NEAR_METRES,
-    unknown: str = UNKNOWN_DISTRICT, out: str = "region",
-) -> DataFrame:
-    """Region of every row: strictly inside, else nearest within `reach`, else `unknown`.
+    points: DataFrame, index: RegionIndex, unknown: str = UNKNOWN_DISTRICT, out: str = "region"
+) -> DataFrame:
+    """Region of every row: strictly inside, else nearest within reach, else `unknown`.
 
-    Only the positions outside every polygon are projected and tested for the nearest one, once each.
+    Two lookups in small cell tables and arithmetic within the row; the points are not shuffled.
     """
-    inside = region_within(points, within_index(edges, size), size, "_in")
-    if reach is not None:
-        missed = inside.where("_in IS NULL AND lon IS NOT NULL").select("lon", "lat").distinct()
-        near = region_nearest(missed, nearest_index(edges, reach), reach, "_near").where("_near IS NOT NULL")
-        # Rows already placed, and rows without coordinates, skip the join: their key would be one hot NULL.
-        open_rows = inside.where("_in IS NULL AND lon IS NOT NULL")
-        rest = inside.where("_in IS NOT NULL OR lon IS NULL").withColumn("_near", F.lit(None).cast("string"))
-        inside = spread_join(open_rows, near, ["lon", "lat"], points.columns).unionByName(rest)
+    placed = region_within(points, index.within, index.size, "_in")
+    if index.nearest is not None:
+        placed = region_nearest(placed, index.nearest, index.reach, "_near", needed=F.col("_in").isNull())
     else:
-        inside = inside.withColumn("_near", F.lit(None).cast("string"))
-    return inside.withColumn(out, F.coalesce("_in", "_near", F.lit(unknown))).drop("_in", "_near")
+        placed = placed.withColumn("_near", F.lit(None).cast("string"))
+    return placed.withColumn(out, F.coalesce("_in", "_near", F.lit(unknown))).drop("_in", "_near")
 
 
 def attach_region(points: DataFrame, regions: DataFrame, unknown: str = UNKNOWN_DISTRICT) -> DataFrame:

@@ -9,6 +9,7 @@ from lacuna.operators import candidates, checklist, redlist, resolve
 from lacuna.plans import duck
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
+from lacuna.session import staged
 
 CANON = f"""
 , acc AS (SELECT *, {duck.field_key('gnus', 'specs', 'sspecs')} AS match_key FROM v_raw WHERE corsyn = 'Y')
@@ -128,12 +129,13 @@ def coverage_missing(i: Inputs) -> DataFrame:
 
 
 def lookups(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Name lookup (checklist, then scientific and vernacular names of non-accepted records) and overrides."""
+    """Name lookup, written once (checklist, then scientific and vernacular names of non-accepted records) and overrides."""
     other = i.raw().where("corsyn = 'N'")
     cols = [F.col("specs_ktsn").alias("accepted_ktsn"), "_ord"]
     sci = other.select(F.lit("sci").alias("alias_type"), F.col("stnm").alias("alias_name"), *cols)
     kor = other.select(F.lit("kor").alias("alias_type"), F.col("krn").alias("alias_name"), *cols)
-    return resolve.name_lookup(i.check(), sci, kor), resolve.override_lookup(i.overrides())
+    lookup = staged(resolve.name_lookup(i.check(), sci, kor), "name-lookup")
+    return lookup, resolve.override_lookup(i.overrides())
 
 
 @query("name_lookup_build", duck.LOOKUP + " SELECT key_type, key, ktsn FROM lk")

@@ -24,6 +24,10 @@ def samples(i: Inputs) -> DataFrame:
     return env.sample_cells(observe.distinct_points(i.obs()), i.raster(), AFFINE)
 
 
+def site_samples(i: Inputs) -> DataFrame:
+    return env.sample_cells(env.species_sites(observe.distinct_points(i.obs())), i.raster(), AFFINE)
+
+
 @query("raster_sample", _SAMPLED + " SELECT ktsn, source, coalesce(year, 0) AS year, lon, lat, var, value FROM sm")
 def raster_sample(i: Inputs) -> DataFrame:
     return samples(i).select("ktsn", "source", F.coalesce("year", F.lit(0)).alias("year"), "lon", "lat", "var", "value")
@@ -42,12 +46,12 @@ def _stats_sql(source: str, keys: str, digits: int, sd: bool) -> str:
 
 @query("species_env_stats", _SAMPLED + " " + _stats_sql("sm", "ktsn, var", 2, True))
 def species_env_stats(i: Inputs) -> DataFrame:
-    return env.species_stats(samples(i), 2)
+    return env.species_stats(site_samples(i), 2)
 
 
 @query("species_bioclim", _SAMPLED + " " + _stats_sql("sm", "ktsn, var", 3, False))
 def species_bioclim(i: Inputs) -> DataFrame:
-    return env.species_stats(samples(i), 3, with_sd=False)
+    return env.species_stats(site_samples(i), 3, with_sd=False)
 
 
 _BLOCKS = ', bl AS (SELECT var, CAST(floor("row" / 11) AS BIGINT) AS "row", CAST(floor(col / 11) AS BIGINT) AS col, avg(value) AS value FROM v_raster GROUP BY 1, 2, 3)'
@@ -132,5 +136,5 @@ def colour_ramp(i: Inputs) -> DataFrame:
     FROM slots s LEFT JOIN un u ON u.ktsn = s.ktsn AND u.v * 7 + u.k = s.slot""",
 )
 def env_vector(i: Inputs) -> DataFrame:
-    vectors = env.env_vector(env.species_stats(samples(i), 2), list(VARS), {"bio01": 1, "bio12": 0, "dem": 0})
+    vectors = env.env_vector(env.species_stats(site_samples(i), 2), list(VARS), {"bio01": 1, "bio12": 0, "dem": 0})
     return vectors.select("ktsn", F.posexplode("vector").alias("slot", "x")).withColumn("x", F.coalesce("x", F.lit(-1.0)))

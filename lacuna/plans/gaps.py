@@ -10,7 +10,7 @@ from lacuna.operators import gap, observe, publish
 from lacuna.plans import duck
 from lacuna.plans.registry import query
 from lacuna.plans.standin import GROUPS, Inputs
-from lacuna.session import scratch_path
+from lacuna.session import scratch_path, staged
 from lacuna.sources import readers, writers
 
 REGION, YEAR, GROUP = "12020", 1998, "MM"
@@ -285,7 +285,7 @@ _DENSE = f"""
     _DENSE + " SELECT taxon_group, 'k' AS kind, CAST(ktsn AS VARCHAR) AS value, idx FROM ki UNION ALL SELECT taxon_group, 's', region, idx FROM si",
 )
 def dense_index(i: Inputs) -> DataFrame:
-    rows = ordered_agg(i)
+    rows = staged(ordered_agg(i), "served")
     k = publish.dense_index(rows, "ktsn").select("taxon_group", F.lit("k").alias("kind"), F.col("ktsn").cast("string").alias("value"), "idx")
     s = publish.dense_index(rows, "region").select("taxon_group", F.lit("s").alias("kind"), F.col("region").alias("value"), "idx")
     return k.unionByName(s)
@@ -293,9 +293,8 @@ def dense_index(i: Inputs) -> DataFrame:
 
 @query("decode_obs", "SELECT taxon_group, ktsn, region, coalesce(year, 0) AS year, obs_count FROM v_gagg")
 def decode_obs(i: Inputs) -> DataFrame:
-    rows = ordered_agg(i)
-    coded = publish.encode_observations(rows)
-    back = publish.decode_observations(coded, publish.dense_index(rows, "ktsn"), publish.dense_index(rows, "region"))
+    rows = staged(ordered_agg(i), "served")
+    back = publish.decode_observations(publish.encode_observations(rows))
     return back.withColumn("year", F.coalesce("year", F.lit(0)))
 
 

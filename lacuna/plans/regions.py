@@ -10,6 +10,7 @@ from lacuna.operators import gap, observe, quality, spatial
 from lacuna.plans import duck
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
+from lacuna.session import staged
 
 
 def edges(i: Inputs) -> DataFrame:
@@ -23,7 +24,7 @@ def edges(i: Inputs) -> DataFrame:
 )
 def region_within(i: Inputs) -> DataFrame:
     coords = observe.distinct_coords(i.obs())
-    got = spatial.region_within(coords, spatial.within_index(edges(i)))
+    got = spatial.region_within(coords, spatial.build_index(edges(i), reach=None).within)
     return got.select("lon", "lat", F.coalesce("region", F.lit(spatial.UNKNOWN_PROVINCE)).alias("region"))
 
 
@@ -33,9 +34,10 @@ def region_within(i: Inputs) -> DataFrame:
     + " SELECT m.lon, m.lat, coalesce(n.code, '00000') AS region FROM missed m LEFT JOIN near n ON m.lon = n.lon AND m.lat = n.lat",
 )
 def region_nearest_within(i: Inputs) -> DataFrame:
-    inside = spatial.region_within(observe.distinct_coords(i.obs()), spatial.within_index(edges(i)))
+    index = spatial.build_index(edges(i))
+    inside = spatial.region_within(observe.distinct_coords(i.obs()), index.within)
     missed = inside.where("region IS NULL").select("lon", "lat")
-    near = spatial.region_nearest(missed, spatial.nearest_index(edges(i)))
+    near = spatial.region_nearest(missed, index.nearest)
     return near.select("lon", "lat", F.coalesce("region", F.lit(spatial.UNKNOWN_DISTRICT)).alias("region"))
 
 
@@ -49,9 +51,10 @@ _PLACED = (
 
 @query("attach_region", _PLACED + " SELECT region, source, count(*) AS n, count(DISTINCT ktsn) AS n_species FROM located GROUP BY region, source")
 def attach_region(i: Inputs) -> DataFrame:
-    """Region found once per distinct position, joined back by position."""
+    """Region found once per distinct position, kept as a table, and joined back by position."""
     obs = i.obs().drop("region")
-    regions = spatial.assign_region(observe.distinct_coords(obs), edges(i))
+    regions = spatial.assign_region(observe.distinct_coords(obs), spatial.build_index(edges(i)))
+    regions = staged(regions, "coordinate-regions")
     located = spatial.attach_region(obs, regions)
     return located.groupBy("region", "source").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("ktsn").alias("n_species")
@@ -65,9 +68,13 @@ def attach_region(i: Inputs) -> DataFrame:
       FROM located l JOIN v_check c ON c.ktsn = l.ktsn GROUP BY l.ktsn, c.taxon_group, l.region, l.year, l.source""",
 )
 def obs_count_agg(i: Inputs) -> DataFrame:
-    """Observations → distinct points → region → counts; the checklist is joined to the counts, not the records."""
-    located = spatial.assign_region(i.obs().drop("region"), edges(i))
-    counted = observe.with_group(observe.obs_count(located), i.check())
+    """Observations → distinct points → region → counts; the checklist is joined to the counts, not the records.
+
+    The region is a function of the position, so points are made distinct before it is looked up.
+    """
+    points = i.obs().select("ktsn", "source", "year", "lon", "lat").distinct()
+    located = spatial.assign_region(points, spatial.build_index(edges(i)))
+    counted = observe.with_group(observe.count_points(located), i.check())
     return counted.select("ktsn", "taxon_group", "region", F.coalesce("year", F.lit(0)).alias("year"), "source", "obs_count")
 
 

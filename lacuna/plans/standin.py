@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.session import scratch_path
+from lacuna.session import staged
 
 
 def letters(e: str) -> str:
@@ -280,9 +280,7 @@ class Inputs:
 
     def unmatched(self) -> DataFrame:
         """Written and read back, as the discard list is between two stages."""
-        path = scratch_path(self.spark, "unmatched")
-        self.table("customer").selectExpr(*exprs(UNMATCHED)).write.parquet(path)
-        return self.spark.read.parquet(path)
+        return staged(self.table("customer").selectExpr(*exprs(UNMATCHED)), "unmatched")
 
     def lines(self) -> DataFrame:
         """The three lines of a part are produced by one scan."""
@@ -306,8 +304,9 @@ class Inputs:
         return summed.selectExpr("var", "row", "col", f"{RASTER_VALUE} AS value")
 
     def overrides(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            list(OVERRIDES), "_ord long, match_name string, match_type string, accepted_ktsn long, reason string"
+        rows = ", ".join(f"({o}L, '{n}', '{t}', {k}L, '{r}')" for o, n, t, k, r in OVERRIDES)
+        return self.spark.sql(
+            f"SELECT * FROM VALUES {rows} AS t(_ord, match_name, match_type, accepted_ktsn, reason)"
         )
 
 

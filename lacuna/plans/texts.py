@@ -9,6 +9,7 @@ from lacuna.operators import redlist
 from lacuna.plans import duck
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
+from lacuna.session import staged
 
 _SPLITS = ", ".join(
     f"('{head}', '{rest}', '{label}')" for head, rests in redlist.split_labels().items() for rest, label in rests.items()
@@ -111,6 +112,6 @@ _ORD = "CAST(substring(doc, 4) AS BIGINT) * 1500 + _ord"
 )
 def merge_update_append(i: Inputs) -> DataFrame:
     order = F.expr(_ORD)
-    base = redlist.parse_records(records(i)).withColumn("_ord", order)
-    newer = redlist.parse_insect_lines(i.lines()).withColumn("_ord", order)
+    base = staged(redlist.parse_records(records(i)).withColumn("_ord", order), "base-edition")
+    newer = staged(redlist.parse_insect_lines(i.lines()).withColumn("_ord", order), "new-edition")
     return redlist.merge_editions(base, newer)
