@@ -24,10 +24,7 @@ def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def planned_small(df: DataFrame) -> bool:
     """Whether Catalyst's own size estimate is below its broadcast threshold (no job is run)."""
-    spark = df.sparkSession
-    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
-    )
+    limit = df._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit
 
