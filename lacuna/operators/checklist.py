@@ -212,4 +212,5 @@ def coverage_missing(rated: DataFrame, master: DataFrame) -> DataFrame:
     )
     keys = master.select(F.col("match_key").alias("_sci")).distinct()
     kors = master.select(names.vernacular_key(F.col("korean_name")).alias("_kor")).distinct()
-    return keyed.join(keys, "_sci", "left_anti").join(kors, "_kor", "left_anti").drop("_sci", "_kor")
+    left = spread_join(keyed, keys, ["_sci"], rated.columns, "left_anti")
+    return spread_join(left, kors, ["_kor"], rated.columns, "left_anti").drop("_sci", "_kor")

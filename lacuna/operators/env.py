@@ -44,7 +44,8 @@ def sample_cells(
     x, y = geo.tm_xy(F.col("lon"), F.col("lat"), project) if project else (F.col("lon"), F.col("lat"))
     placed = coords.withColumn("row", affine.row(y)).withColumn("col", affine.col(x))
     # Many positions may share one cell, and each cell has one row per variable.
-    sampled = staged(placed.join(cells, ["row", "col"]).select("lon", "lat", "var", "value"), "sampled")
+    met = spread_join(placed, cells, ["row", "col"], ["lon", "lat"], "inner")
+    sampled = staged(met.select("lon", "lat", "var", "value"), "sampled")
     spread_on = [c for c in points.columns if c not in ("lon", "lat")] or ["lon"]
     return spread_join(points.where("lon IS NOT NULL"), sampled, ["lon", "lat"], spread_on, "inner")
 

@@ -57,7 +57,7 @@ def spread_join(
     and only the `dim` rows of hot keys are repeated once per salt.
     """
     keys = list(keys)
-    if planned_small(dim):
+    if facts.isStreaming or planned_small(dim):
         return facts.join(dim, keys, how)
     kinds = {k: dim.schema[k].dataType for k in keys}
     hashed = F.xxhash64(*[F.col(f"`{k}`").cast(kinds[k]) for k in keys])

@@ -1,8 +1,9 @@
 """Exact quantiles of very large groups.
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here values are counted
-first, cut into equal-width buckets per group, and only buckets are ranked, so that no task sees more than
-one bucket of one group.
+first; a group with very many different values is cut at approximate quantiles into buckets of about equal
+size, whatever its distribution, and ranks are worked out per bucket. The result stays exact: the cuts only
+decide which task ranks a value.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from lacuna.operators.joins import spread_join
 from lacuna.session import staged
 
-BUCKETS = 1024
+# Groups with more different values than this are cut into BUCKETS parts.
+ROWS_PER_TASK = 100_000
+BUCKETS = 64
 
 
 def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -28,21 +31,28 @@ def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: s
 
 
 def summarise(
-    samples: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS,
-    weight: str | None = None,
+    samples: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None,
+    rows_per_task: int = ROWS_PER_TASK, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles."""
     keys = list(keys)
     counts = staged(finite_counts(samples, keys, value, weight), "value-counts")
     totals = counts.groupBy(*keys).agg(
         F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.count(F.lit(1)).alias("_values"),
     )
-    width = F.col("max") - F.col("min")
-    share = F.when(width > 0, (F.col("_v") - F.col("min")) / width).otherwise(F.lit(0.0))
-    valued = spread_join(counts, totals, keys, ["_v"], "inner").withColumn(
-        "_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+    large = totals.where(F.col("_values") > rows_per_task).select(*keys)
+    steps = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = (
+        spread_join(counts, large, keys, ["_v"], "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx("_v", steps, 10_000).alias("_cuts"))
     )
+    totals = totals.drop("_values").join(cuts, keys, "left")
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
+    valued = spread_join(counts, totals, keys, ["_v"], "inner").withColumn(
+        "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
+    ).drop("_cuts")
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         valued.groupBy(*keys, "_b")

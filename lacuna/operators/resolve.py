@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import names
-from lacuna.operators.joins import planned_small, sized, spread_join
+from lacuna.operators.joins import sized, spread_join
+from lacuna.session import staged
 
 VERDICTS = ("override", "both", "sci", "kor", "conflict", "none")
 MATCHED = ("override", "both", "sci", "kor")
@@ -58,15 +59,18 @@ def _side(lookup: DataFrame, key_type: str, key: str, out: str) -> DataFrame:
 
 def judge(pairs: DataFrame, lookup: DataFrame, overrides: DataFrame) -> DataFrame:
     """Add ktsn, how, ktsn_sci, ktsn_kor to rows carrying sci_key and kor_key ('' = missing)."""
-    out = pairs
+    # A missing name gets a probe no lookup holds (keys never start with a space), spread over many values,
+    # so that nameless rows neither match nor meet in one task.
+    missing = F.concat(F.lit(" "), F.pmod(F.xxhash64("sci_key", "kor_key"), F.lit(4096)).cast("string"))
+    out = pairs.withColumns(
+        {f"_p_{k}": F.when(F.col(f"{k}_key") == "", missing).otherwise(F.col(f"{k}_key")) for k in ("sci", "kor")}
+    )
     overrides = sized(overrides)
-    for table, kind, key, name in (
-        (overrides, "sci", "sci_key", "_ov_sci"),
-        (overrides, "kor", "kor_key", "_ov_kor"),
-        (lookup, "sci", "sci_key", "ktsn_sci"),
-        (lookup, "kor", "kor_key", "ktsn_kor"),
-    ):
-        out = out.join(_side(table, kind, key, name), key, "left")
+    for kind in ("sci", "kor"):
+        probe = f"_p_{kind}"
+        out = out.join(_side(overrides, kind, probe, f"_ov_{kind}"), probe, "left")
+        out = spread_join(out, _side(lookup, kind, probe, f"ktsn_{kind}"), [probe], ["sci_key", "kor_key"])
+    out = out.drop("_p_sci", "_p_kor")
     forced = F.coalesce("_ov_sci", "_ov_kor")
     s, k = F.col("ktsn_sci"), F.col("ktsn_kor")
     how = (
@@ -91,16 +95,14 @@ def resolve_names(
 ) -> DataFrame:
     """Observations with ktsn (NULL when discarded) and verdict.
 
-    Small lookups are probed in place, without moving the observations. Large ones are probed once per
-    distinct name pair, so that the observations are moved once instead of once per lookup.
+    Names repeat far more often than they differ: keys and lookups are worked out once per distinct pair of
+    names, kept as a table, and joined back. The observations are read by that one join only.
     """
-    if planned_small(lookup):
-        return judge(with_name_keys(obs, sci, kor), lookup, overrides).drop("sci_key", "kor_key")
     columns = [sci] + ([kor] if kor else [])
     # '' and NULL both mean a missing name; one form lets the names be joined back.
     filled = obs.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
     pairs = judge(with_name_keys(filled.select(*columns).distinct(), sci, kor), lookup, overrides)
-    return spread_join(filled, pairs.drop("sci_key", "kor_key"), columns, obs.columns)
+    return spread_join(filled, staged(pairs.drop("sci_key", "kor_key"), "resolved-names"), columns, obs.columns)
 
 
 def coverage_report(

@@ -192,7 +192,7 @@ def rarity_to_category(i: Inputs) -> DataFrame:
 
 @query("agg_order", "SELECT taxon_group, region, coalesce(year, 0) AS year, ktsn, source, obs_count FROM v_gagg")
 def agg_order(i: Inputs) -> DataFrame:
-    ordered = group_agg(i).orderBy("taxon_group", "region", "year", F.desc("obs_count"))
+    ordered = group_agg(i).orderBy("taxon_group", "region", "year", F.desc("obs_count"), "ktsn", "source")
     return ordered.select("taxon_group", "region", F.coalesce("year", F.lit(0)).alias("year"), "ktsn", "source", "obs_count")
 
 

@@ -17,14 +17,13 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """Point store: one folder per group, files sorted by id so that row groups can be skipped.
+    """Point store: one folder per group, files holding narrow id ranges so that readers skip most of them.
 
-    Rows are spread over (group, id bucket), so a group holding a third of the points has many writers.
+    Ranges run over (group, id, position), so even one species with a third of the points has many writers.
     """
-    bucket = F.pmod(F.xxhash64("ktsn", "lon", "lat"), F.lit(256))
     (
-        points.repartition("taxon_group", bucket)
-        .sortWithinPartitions("taxon_group", "ktsn")
+        points.repartitionByRange("taxon_group", "ktsn", "lon", "lat")
+        .sortWithinPartitions("taxon_group", "ktsn", "lon", "lat")
         .write.partitionBy("taxon_group")
         .parquet(path)
     )
@@ -36,12 +35,17 @@ def file_token(group):
 
 
 def write_by_group(served: DataFrame, path: str) -> None:
-    """One folder per group, so that a reader loads only the group it shows."""
-    served.withColumn("group_file", file_token(F.col("taxon_group"))).write.partitionBy("group_file").parquet(path)
+    """One folder per group, so that a reader loads only the group it shows.
+
+    Ranged over (group, id), which keeps the number of files near the number of tasks.
+    """
+    named = served.withColumn("group_file", file_token(F.col("taxon_group")))
+    named.repartitionByRange("group_file", "ktsn", "region").write.partitionBy("group_file").parquet(path)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    cells.sortWithinPartitions("var", "row", "col").write.partitionBy("var").parquet(path)
+    """Raster cells, one folder per variable, files holding row ranges."""
+    cells.repartitionByRange("var", "row", "col").sortWithinPartitions("var", "row", "col").write.partitionBy("var").parquet(path)
 
 
 def export_columns(species: DataFrame, found: bool) -> DataFrame:

@@ -61,13 +61,15 @@ def test_carry_forward_equals_last(spark):
     assert rows(got, "g", "o", "c") == rows(want, "g", "o", "c")
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 1024])
-def test_summary_equals_exact_percentile(spark, buckets):
+@pytest.mark.parametrize("per_task,buckets", [(100_000, 64), (10, 3), (0, 16)])
+def test_summary_equals_exact_percentile(spark, per_task, buckets):
     random.seed(3)
     data = [(k, random.choice([random.gauss(0, 5), 1.0, float(random.randint(0, 4))])) for k in "ab" for _ in range(151)]
     data += [("one", 4.0), ("nan", float("nan")), ("mix", float("inf")), ("mix", 2.0), ("mix", None), ("mix", 3.0)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r.k: r for r in quantiles.summarise(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}, buckets).collect()}
+    probs = {"a": 0.1, "b": 0.5, "c": 0.99}
+    summary = quantiles.summarise(df, ["k"], "v", probs, rows_per_task=per_task, buckets=buckets)
+    got = {r.k: r for r in summary.collect()}
     finite = df.where("v IS NOT NULL AND NOT isnan(v) AND v < 1e300")
     want = finite.groupBy("k").agg(
         F.percentile("v", [0.1, 0.5, 0.99]).alias("p"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"),
