@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import names
-from lacuna.operators.joins import sized, spread_join
+from lacuna.operators.joins import planned_small, sized, spread_join
 from lacuna.session import staged
 
 VERDICTS = ("override", "both", "sci", "kor", "conflict", "none")
@@ -95,9 +95,12 @@ def resolve_names(
 ) -> DataFrame:
     """Observations with ktsn (NULL when discarded) and verdict.
 
-    Names repeat far more often than they differ: keys and lookups are worked out once per distinct pair of
-    names, kept as a table, and joined back. The observations are read by that one join only.
+    A lookup small enough to broadcast is probed in place: the observations are read once and never moved.
+    With a larger one, keys and lookups are worked out once per distinct pair of names, kept as a table and
+    joined back, so that the observations are moved once instead of once per lookup.
     """
+    if planned_small(lookup):
+        return judge(with_name_keys(obs, sci, kor), lookup, overrides).drop("sci_key", "kor_key")
     columns = [sci] + ([kor] if kor else [])
     # '' and NULL both mean a missing name; one form lets the names be joined back.
     filled = obs.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})

@@ -17,6 +17,7 @@ ADAPTIVE = {
 }
 
 _fallback: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -57,9 +58,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared one; removed by the JVM when the application ends."""
+    folder = f"{shared_dir(spark)}/lacuna/{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(conf)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so reruns cannot read stale files."""
-    return f"{shared_dir(spark)}/lacuna/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the run folder; never reused, so reruns cannot read stale files."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
