@@ -37,9 +37,12 @@ def summarise(
     """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles."""
     keys = list(keys)
     counts = staged(finite_counts(samples, keys, value, weight), "value-counts")
-    totals = counts.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.count(F.lit(1)).alias("_values"),
+    totals = staged(
+        counts.groupBy(*keys).agg(
+            F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+            (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.count(F.lit(1)).alias("_values"),
+        ),
+        "value-totals",
     )
     large = totals.where(F.col("_values") > rows_per_task).select(*keys)
     steps = [i / buckets for i in range(1, buckets)] or [0.5]

@@ -90,7 +90,7 @@ CHECK = {
 }
 CHECK_WHERE = "p_size % 10 <> 0"
 
-# Rating rows: names as a threatened-species table writes them, grades in several spellings.
+# Rating rows: only rated species are listed, as in a threatened-species table, with grades in several spellings.
 RATED = {
     "_ord": "p_partkey",
     "sci_name": f"concat({genus('p_partkey + 4 * (p_partkey % 3)')}, ' ', {species('p_partkey + 4 * (p_partkey % 3)')}, CASE WHEN p_partkey % 4 = 3 THEN concat(' ss', {letters('p_partkey % 10')}) ELSE '' END, ' Auth.')",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -119,27 +120,31 @@ def scan_cp949(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         )
 
 
+def _archive_rows(path: str, content: bytes, columns: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Batches of rows of the first .csv in one archive; a damaged archive ends where it breaks."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        member = next((n for n in archive.namelist() if n.endswith(".csv")), None)
+        if member is None:
+            return
+        with archive.open(member) as raw:
+            text = io.TextIOWrapper(raw, encoding="cp949", errors="replace")
+            row = 0
+            for frame in pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000):
+                out = frame.reindex(columns=list(columns), fill_value="")
+                out["_row"] = range(row, row + len(out))
+                out["_file"] = path.rsplit("/", 1)[-1]
+                row += len(out)
+                yield out
+    except (zipfile.BadZipFile, zlib.error, EOFError, pd.errors.ParserError, pd.errors.EmptyDataError):
+        return
+
+
 def _unzip(columns: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    member = next((n for n in archive.namelist() if n.endswith(".csv")), None)
-                except zipfile.BadZipFile:
-                    member = None
-                if member is None:
-                    continue
-                with archive.open(member) as raw:
-                    text = io.TextIOWrapper(raw, encoding="cp949", errors="replace")
-                    frames = pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000)
-                    row = 0
-                    for frame in frames:
-                        out = frame.reindex(columns=list(columns), fill_value="")
-                        out["_row"] = range(row, row + len(out))
-                        out["_file"] = path.rsplit("/", 1)[-1]
-                        row += len(out)
-                        yield out
+                yield from _archive_rows(path, content, columns)
 
     return run
 
@@ -179,28 +184,37 @@ def flatten_features(collections: DataFrame) -> DataFrame:
     )
 
 
+_POLYGON, _MULTIPOLYGON = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+
+
+def boundary_schema(properties: Sequence[str]) -> T.StructType:
+    """GeoJSON collection with text properties; coordinates stay text because their depth varies by type."""
+    props = ", ".join(f"`{p}`:string" for p in properties)
+    return T.StructType.fromDDL(
+        f"type string, features array<struct<type:string, properties:struct<{props}>, "
+        "geometry:struct<type:string, coordinates:string>>>"
+    )
+
+
 def scan_boundaries(spark: SparkSession, path: str, names: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Polygon GeoJSON → rings (code, ord, ring, vertices); the code is the first candidate property present."""
+    """Polygons and multipolygons in GeoJSON → rings (code, ord, ring, vertices).
+
+    The code is the first candidate property present, else the first property. All rings of a feature count
+    together by parity, so islands and holes need no further distinction.
+    """
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("pos", "f"))
-    present = [c for c in f.select("f.properties.*").columns]
+    present = f.select("f.properties.*").columns
     code = next((n for n in names if n in present), present[0])
+    text = F.col("f.geometry.coordinates")
+    rings = F.when(
+        F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(text, _MULTIPOLYGON))
+    ).otherwise(F.from_json(text, _POLYGON))
     return f.select(
         F.col(f"f.properties.{code}").alias("code"), F.col("pos").cast("bigint").alias("ord"),
-        F.posexplode("f.geometry.coordinates").alias("ring", "vertices"),
+        F.posexplode(rings).alias("ring", "vertices"),
     )
 
 
-BOUNDARY_SCHEMA_DDL = (
-    "type string, features array<struct<type:string, properties:struct<{props}>, "
-    "geometry:struct<type:string, coordinates:array<array<array<double>>>>>>"
-)
-
-
-def boundary_schema(properties: Sequence[str]) -> T.StructType:
-    props = ", ".join(f"{p}:string" for p in properties)
-    return T.StructType.fromDDL(BOUNDARY_SCHEMA_DDL.format(props=props))
-
-
 def scan_cells(spark: SparkSession, path: str) -> DataFrame:
     """Raster cells (var, row, col, value), one folder per variable."""
     return spark.read.parquet(path)

@@ -1,11 +1,13 @@
 """Readers, writers, streams and plan shapes."""
 
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
 from lacuna.operators import gap, observe, publish, spatial
 from lacuna.plans.standin import Inputs
+from lacuna.session import scratch_path, shared_dir
 from lacuna.sources import readers, writers
 from lacuna.streaming import ingest
 
@@ -41,7 +43,7 @@ def test_bom_and_quotes(spark, tmp_path):
 
 
 def test_export_is_quoted_and_named(spark, tmp_path):
-    df = spark.createDataFrame([("박새", 'Parus "x"', "I", "CR", 3)], "korean_name string, scientific_name string, grade string, redlist string, n_obs long")
+    df = spark.createDataFrame([("박새", 'Parus "x"', "I", "CR", 3)], "korean_name string, scientific_name string, grade string, redlist string, n_obs long").coalesce(1)
     writers.export_checklist(df, str(tmp_path / "e"), found=True)
     text = next((tmp_path / "e").glob("part-*.csv")).read_text()
     assert text.splitlines() == ['"국명","학명","멸종위기등급","적색목록","발견횟수"', '"박새","Parus ""x""","I급","CR","3"']
@@ -108,3 +110,32 @@ def test_point_store_prunes_groups(spark, tmp_path):
     writers.write_points(observe.with_group(observe.distinct_points(i.obs()), i.check()), path)
     one = spark.read.parquet(path).where("taxon_group = 'AV'")
     assert "PartitionFilters: [isnotnull(taxon_group" in plan(one) and one.count() > 0
+
+
+def test_boundaries_with_islands_and_holes(spark, tmp_path):
+    def square(x, y, side):
+        return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
+
+    def feature(name, kind, coordinates):
+        return {"type": "Feature", "properties": {"SIDO_NM": name}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    data = {
+        "type": "FeatureCollection",
+        "features": [
+            feature("가", "MultiPolygon", [[square(127.0, 37.0, 1.0), square(127.25, 37.25, 0.5)], [square(129.0, 37.0, 0.5)]]),
+            feature("나", "Polygon", [square(127.375, 37.375, 0.25)]),
+        ],
+    }
+    (tmp_path / "b.json").write_text(json.dumps(data, indent=1))
+    rings = readers.scan_boundaries(spark, str(tmp_path / "b.json"), ("CTP_KOR_NM", "SIDO_NM"), readers.boundary_schema(["SIDO_NM"]))
+    index = spatial.within_index(spatial.polygon_edges(rings))
+    points = {(127.125, 37.125): "가", (127.3, 37.3): None, (127.5, 37.5): "나", (129.25, 37.25): "가", (128.5, 37.25): None}
+    got = spatial.region_within(spark.createDataFrame(list(points), "lon double, lat double"), index).collect()
+    assert {(r.lon, r.lat): r.region for r in got} == points
+
+
+def test_scratch_lies_in_the_shared_folder(spark):
+    path = scratch_path(spark, "x")
+    assert path.startswith(shared_dir(spark)) and path != scratch_path(spark, "x")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert named is None or shared_dir(spark) == named.rstrip("/")
