@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import checklist, env, observe, spatial
+from lacuna.operators import checklist, observe, spatial
 from lacuna.plans import duck
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
