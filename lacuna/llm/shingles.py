@@ -31,6 +31,12 @@ def powers(base: int, many: int) -> np.ndarray:
     return have[:many]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, from sums of powers over the whole batch."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -47,8 +53,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     after = np.concatenate([inside[1:], [False]])
     after[at[1:][at[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), dtype=np.uint64)])
-    word = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    word = word_hashes(data, starts, ends)
     row = np.searchsorted(at, starts, "right") - 1
     many = np.bincount(row, minlength=len(column))
     first = np.concatenate([[0], np.cumsum(many)])[:-1]
