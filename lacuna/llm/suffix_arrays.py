@@ -51,20 +51,23 @@ def suffix_array(words: np.ndarray, reach: int = 8) -> np.ndarray:
 
 
 def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each place of the array, how many bytes its suffix shares with the one before it, `depth` at most.
+    """For each place of `order`, how many bytes its suffix shares with the one before it, `depth` at most.
 
-    Kasai's bound in text order: a suffix shares at least one byte less than the suffix one position before it did. Every
-    eighth position is compared from the start, the others go on from that bound, each step for all of them at once.
+    `order` holds all suffixes in sorted order, or some of them. Kasai's bound in text order: a suffix shares at least
+    one byte less than the suffix one position before it did, if the partner of that one, moved on, is in the array too.
+    Every eighth position is compared from the start, the others go on from that bound, each step for all at once.
     """
-    size = len(order)
-    before = np.full(size, -1, np.int64)
+    size = len(words)
+    before = np.full(size + 1, -1, np.int64)
     before[order[1:]] = order[:-1]
+    there = np.zeros(size + 1, bool)
+    there[order] = True
     shared = np.zeros(size, np.int64)
     for phase in range(8):
         at = np.arange(phase, size, 8)
         at = at[before[at] >= 0]
-        length = np.maximum(shared[at - 1] - 1, 0) if phase else np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
+        length = np.where(there[before[at - 1] + 1], np.maximum(shared[at - 1] - 1, 0), 0) if phase else np.zeros(len(at), np.int64)
+        live = np.flatnonzero(length < depth)
         while len(live):
             a, b = at[live] + length[live], before[at[live]] + length[live]
             ok = (a < size) & (b < size)
@@ -84,7 +87,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndar
             live = live[same & (length[live] < depth)]
         shared[at] = np.minimum(length, depth)
     out = shared[order]
-    out[0] = 0
+    out[:1] = 0
     # Bytes beyond the end are zeros in the words; they do not count.
     ends = np.minimum(size - order, size - np.concatenate([order[:1], order[:-1]]))
     return np.minimum(out, ends)
@@ -103,19 +106,26 @@ def prefix_table(words: np.ndarray, positions: np.ndarray, depth: int) -> np.nda
 
 
 def search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Row of the sorted table that equals each wanted row, or -1: binary search for all of them at once."""
-    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(table), np.int64)
-    while len(table) and (low < high).any():
-        middle = np.minimum((low + high) // 2, len(table) - 1)
-        rows = table[middle]
-        less, equal = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
-        for k in range(table.shape[1]):
-            less |= equal & (rows[:, k] < wanted[:, k])
-            equal &= rows[:, k] == wanted[:, k]
-        going = low < high
-        low = np.where(going & less, middle + 1, low)
-        high = np.where(going & ~less, middle, high)
-    found = np.minimum(low, max(len(table) - 1, 0))
+    """Row of the sorted table that equals each wanted row, or -1: binary search for all of them at once.
+
+    The first numbers are searched alone; the others decide within the rows that share the first one.
+    """
+    found = np.full(len(wanted), -1, np.int64)
     if not len(table):
-        return np.full(len(wanted), -1)
-    return np.where((table[found] == wanted).all(axis=1), found, -1)
+        return found
+    low = np.searchsorted(table[:, 0], wanted[:, 0], "left")
+    high = np.searchsorted(table[:, 0], wanted[:, 0], "right")
+    live = np.flatnonzero(low < high)
+    low, high, rows = low[live], high[live], wanted[live]
+    while len(live):
+        middle = (low + high) // 2
+        there = table[middle]
+        less, equal = np.zeros(len(live), bool), np.ones(len(live), bool)
+        for k in range(1, table.shape[1]):
+            less |= equal & (there[:, k] < rows[:, k])
+            equal &= there[:, k] == rows[:, k]
+        found[live[equal]] = middle[equal]
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        on = ~equal & (low < high)
+        live, low, high, rows = live[on], low[on], high[on], rows[on]
+    return found

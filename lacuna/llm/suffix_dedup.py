@@ -1,12 +1,13 @@
 """Removal of byte strings that an earlier document holds, by suffix arrays of content-routed shards.
 
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id. Two equal strings
-contain the same least hashed 24-byte word, so a run of strings with one such word (a piece, length - 1 bytes longer than
+contain the same least hashed 20-byte word, so a run of strings with one such word (a piece, length - 1 bytes longer than
 its number of strings) can be sent to a shard named by the word: equal strings always meet.
 
-1. Every task lists its pieces' words without their bytes; words that occur in one document only are dropped.
-2. The pieces of the other words are cut from the texts. Equal pieces of a task are sent once, for their smallest id;
-   the others are covered whole, so a passage shared by a third of all documents costs one piece per task.
+1. Every task lists its pieces' words without their bytes, as short hashes of the word and of what stands beside it;
+   pieces that agree with no piece of another document in the word and one side are dropped.
+2. The pieces of the other words are cut from the texts. Equal pieces of a task are sent once, with the places where they
+   stand, so that a passage shared by a third of all documents costs its text once per task.
 3. A shard builds suffix arrays (Larsson-Sadakane) of blocks of distinct pieces, takes common prefixes (Kasai) to find
    equal strings, and looks up the strings of each block in the arrays of the others by binary search. Each string's
    smallest id over all blocks decides.
@@ -23,68 +24,129 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import rows
 from lacuna.llm.arrow import slices, utf8
 from lacuna.llm.shingles import mix
 from lacuna.llm.suffix_arrays import common_prefixes, packed, prefix_table, search, suffix_array
+from lacuna.session import staged
 
 LENGTH = 50
-WORD = 24
+WORD = 20
 NO_ID = 2**63 - 1
 #: Text of all documents for each shard, and the least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 4_000_000, 256
 SLICE_BYTES = 2_000_000
 #: Text of a task that is listed, and pieces of a task that are made distinct, at once.
 TASK_BYTES = 16_000_000
+PIECE_BYTES = 32_000_000
 #: Distinct pieces in one suffix array.
 BLOCK_BYTES = 1_000_000
+SALTS = 32
+#: Documents are asked for by a key of so many bits; one that shares a key only sends more pieces.
+KEY_BITS = 32
 
-LISTED = "shard int, ids binary, hashes binary, items binary"
-FLAGGED = "did bigint, th int, at int, many int, key bigint"
-SENT = "shard int, text binary, sizes binary, occurrences binary, covered binary"
-COVERED = "did bigint, th int, at int, size int"
+LISTED = "shard int, listed binary"
+FLAGGED = "doc bigint, shard int, pieces binary"
+SENT = "shard int, text binary, places binary"
+COVERED = "did bigint, th int, spans binary"
 
-_OCCURRENCE = np.dtype([("piece", "<u4"), ("th", "<i4"), ("did", "<i8"), ("at", "<i4"), ("size", "<i4")])
+#: A piece of a document: where it starts, how many bytes it has.
+_PIECE = np.dtype([("at", "<u4"), ("size", "<u4")])
 
 
-def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in the text, strings, word hash) of the runs of strings with the same least word."""
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, compressed byte plane by byte plane."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _spread(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of `_squeeze`, of these dtypes."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    types = [np.dtype(k) for k in kinds.split()]
+    many, at, out = len(raw) // sum(t.itemsize for t in types), 0, []
+    for kind in types:
+        planes = raw[at : at + many * kind.itemsize].reshape(kind.itemsize, many)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += many * kind.itemsize
+    return out
+
+
+def _low_bytes(values: np.ndarray, many: int) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :many]).view(f"V{many}").reshape(-1)
+
+
+def _widen(values: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(values), 8), np.uint8)
+    wide[:, : values.itemsize] = values.view(np.uint8).reshape(len(values), -1)
+    return wide.reshape(-1).view("<i8")
+
+
+def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Runs of strings with the same least word at the same place: (row, start in the text, strings, hash, left, right).
+
+    `left` and `right` hash the (length - WORD) / 2 bytes beside the word. A string that holds the word holds all of
+    these on one side at least, so equal strings agree in the word and in one of the two.
+    """
     windows = np.maximum(np.diff(at) - length + 1, 0)
     if not windows.sum():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     word = packed(data)
     many = len(data) - WORD + 1
     hashed = mix(word[:many] * np.uint64(0x9E3779B97F4A7C15) + word[8 : many + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
-                 + word[16 : many + 16] * np.uint64(0x165667B19E3779F9))
+                 + word[WORD - 8 : many + WORD - 8] * np.uint64(0x165667B19E3779F9))
     span, reach, least = length - WORD + 1, 1, hashed
-    while reach * 2 <= span:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    if span > reach:
-        least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
+    while reach < span:
+        step = min(reach, span - reach)
+        least = np.minimum(least[step:], least[:-step])
+        reach += step
     row = np.repeat(np.arange(len(windows)), windows)
     start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = least[at[row] + start]
+    window = at[row] + start
+    value = least[window]
+    leaves = hashed[window] == value  # the string begins with its word, so the next one does not hold it here
     new = np.ones(len(row), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | leaves[:-1]
     first = np.flatnonzero(new)
-    return row[first], start[first], np.diff(np.append(first, len(row))), value[first]
+    size = np.diff(np.append(first, len(row)))
+    value = value[first]
+    # The word's place: where the last string of the run begins, or else the end of the first, or else in between.
+    where = window[first + size - 1]
+    open_ = np.flatnonzero(hashed[where] != value)
+    where[open_] = window[first[open_]] + span - 1
+    open_ = open_[hashed[where[open_]] != value[open_]]
+    where[open_] = window[first[open_]]
+    while len(open_ := open_[hashed[where[open_]] != value[open_]]):
+        where[open_] += 1
+    side = (length - WORD) // 2
+    last = len(data) - 1
+
+    def beside(lo: np.ndarray) -> np.ndarray:
+        near, far = word[np.clip(lo, 0, last)], word[np.clip(lo + side - 8, 0, last)]
+        return mix(near * np.uint64(0x9E3779B97F4A7C15) + far)
+
+    return row[first], start[first], size, value, beside(where - side), beside(where + WORD)
 
 
 def _listed(length: int, shards: int):
+    """Words of the pieces of a task by shard, with the key of their document and their place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, 2, SLICE_BYTES):
-                data, at = utf8(part.column(2))
-                row, start, many, value = runs(data, at, length)
-                held.append((np.asarray(part.column(0))[row], np.asarray(part.column(1))[row], start, many, value))
+            for part in slices(batch, 1, SLICE_BYTES):
+                data, at = utf8(part.column(1))
+                row, start, many, value, left, right = runs(data, at, length)
+                held.append((np.asarray(part.column(0))[row], start.astype(np.uint32), many.astype(np.uint8), value,
+                             left.astype(np.uint8), right.astype(np.uint8)))
                 size += len(data)
                 if size >= TASK_BYTES:
                     yield emit(held)
@@ -93,7 +155,7 @@ def _listed(length: int, shards: int):
             yield emit(held)
 
     def emit(held) -> pa.RecordBatch:
-        did, th, start, many, value = (np.concatenate(c) for c in zip(*held, strict=True))
+        doc, start, many, value, left, right = (np.concatenate(c) for c in zip(*held, strict=True))
         shard = (value % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -101,70 +163,88 @@ def _listed(length: int, shards: int):
         for k in range(shards):
             own = order[bounds[k] : bounds[k + 1]]
             if len(own):
-                new = np.ones(len(own), bool)
-                new[1:] = (did[own][1:] != did[own][:-1]) | (th[own][1:] != th[own][:-1])
-                items = np.stack([np.cumsum(new) - 1, start[own], many[own], (value[own] >> np.uint64(32)).astype(np.int64)])
-                out.append((k, did[own][new].tobytes(), th[own][new].tobytes(), items.astype("<u4").tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-            names=["shard", "ids", "hashes", "items"])
+                out.append((k, _squeeze(
+                    _low_bytes(doc[own], KEY_BITS // 8), (value[own] >> np.uint64(48)).astype("<u2"), left[own], right[own], start[own], many[own])))
+        columns = list(zip(*out, strict=True)) or [[]] * 2
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["shard", "listed"])
 
     return run
 
 
-def _flag(table: pa.Table) -> pa.Table:
-    """Pieces whose word stands in more than one document."""
-    parts = []
-    for ids, hashes, items in zip(*(table.column(c).to_pylist() for c in ("ids", "hashes", "items")), strict=True):
-        item = np.frombuffer(items, "<u4").reshape(4, -1)
-        parts.append((np.frombuffer(ids, "<i8")[item[0]], np.frombuffer(hashes, "<i4")[item[0]], *item[1:]))
-    did, th, start, many, value = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.argsort(value)
+def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a key stands in more than one document."""
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
-    new[1:] = value[order][1:] != value[order][:-1]
+    new[1:] = key[order][1:] != key[order][:-1]
     heads = np.flatnonzero(new)
-    shared = np.maximum.reduceat(did[order], heads) > np.minimum.reduceat(did[order], heads)
-    keep = order[np.repeat(shared, np.diff(np.append(heads, len(order))))]
-    key = value[keep].astype(np.int64) | (np.int64(table.column("shard")[0].as_py()) << np.int64(32))
-    return pa.table({"did": did[keep], "th": th[keep], "at": start[keep].astype(np.int32), "many": many[keep].astype(np.int32), "key": key})
+    several = np.maximum.reduceat(doc[order], heads) > np.minimum.reduceat(doc[order], heads)
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(several, np.diff(np.append(heads, len(order))))
+    return out
+
+
+def _flag(length: int):
+    """Pieces whose word stands in more than one document, by document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_spread(blob, f"V{KEY_BITS // 8} <u2 u1 u1 <u4 u1") for blob in table.column("listed").to_pylist()]
+        doc, value, left, right, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+        doc, value = _widen(doc), value.astype(np.int64) << 8
+        keep = np.flatnonzero(_several(value | left, doc) | _several(value | right, doc))
+        keep = keep[np.argsort(doc[keep], kind="stable")]
+        docs, first = np.unique(doc[keep], return_index=True)
+        pieces = np.empty(len(keep), _PIECE)
+        pieces["at"], pieces["size"] = start[keep], many[keep].astype(np.int64) + length - 1
+        return pa.table({
+            "doc": docs, "shard": np.full(len(docs), table.column("shard")[0].as_py(), np.int32),
+            "pieces": pa.array([p.tobytes() for p in np.split(pieces, first[1:])] if len(docs) else [], pa.binary())})
+
+    return run
 
 
 def _send(length: int):
-    """Cut the flagged pieces out of the texts; equal pieces once, for their smallest id."""
+    """Cut the flagged pieces out of the texts; equal pieces of a task once, for their smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, list]] = {}
-        size = 0
+        held: dict[int, dict[bytes, int]] = {}
+        seen, size = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                did, th = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                text = (batch.column(2)[k].as_py() or "").encode()
-                own = batch.column(3)[k].values
-                for at, many, key in zip(*(own.field(c).to_numpy(zero_copy_only=False).tolist() for c in range(3)), strict=True):
-                    piece = text[at : at + many + length - 1]
-                    size += 24 + len(piece)
-                    held.setdefault(key >> 32, {}).setdefault(piece, []).append((did, th, at))
-                if size >= TASK_BYTES:
-                    yield emit(held)
-                    held, size = {}, 0
-        if held:
-            yield emit(held)
-
-    def emit(held: dict[int, dict[bytes, list]]) -> pa.RecordBatch:
-        out = []
-        for shard, pieces in sorted(held.items()):
-            sent, covered = [], []
-            for k, (piece, seen) in enumerate(pieces.items()):
-                least = min(seen)[0]
-                for did, th, at in seen:
-                    (sent if did == least else covered).append((k, th, did, at, len(piece)))
-            out.append((shard, b"".join(pieces), np.array([len(p) for p in pieces], "<u4").tobytes(),
-                        np.array(sent, _OCCURRENCE).tobytes(), np.array(covered, _OCCURRENCE).tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
+            data, bounds = utf8(batch.column(2))
+            raw = data.tobytes()
+            lists = batch.column(3)
+            entries = lists.flatten()
+            many = np.array([len(e) for e in entries.field("pieces").to_pylist()], np.int64) // _PIECE.itemsize
+            pieces = np.frombuffer(b"".join(entries.field("pieces").to_pylist()), _PIECE)
+            own = np.diff(np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])])
+            row = np.repeat(np.arange(batch.num_rows), own)
+            shard = np.repeat(entries.field("shard").to_numpy(), many)
+            lows = bounds[:-1][row] + pieces["at"]
+            ok = (pieces["size"] >= length) & (lows + pieces["size"] <= bounds[1:][row])  # else asked for by a shared key
+            row, shard, lows, pieces = row[ok], shard[ok], lows[ok], pieces[ok]
+            for k in np.unique(shard).tolist():
+                held.setdefault(k, {})
+            number = []
+            for k, lo, hi in zip(shard.tolist(), lows.tolist(), (lows + pieces["size"]).tolist(), strict=True):
+                known = held[k]
+                number.append(known.setdefault(raw[lo:hi], len(known)))
+            seen.append((shard, np.array(number, np.uint32), pieces["size"].astype("<u4"), np.asarray(batch.column(0))[row],
+                         np.asarray(batch.column(1))[row], pieces["at"].astype("<u4")))
+            size += int(pieces["size"].sum()) + 24 * len(row)
+            if size >= PIECE_BYTES:
+                yield emit(held, seen)
+                held, seen, size = {}, [], 0
+        if seen:
+            yield emit(held, seen)
+
+    def emit(held: dict[int, dict[bytes, int]], seen: list) -> pa.RecordBatch:
+        zipped = zstandard.ZstdCompressor(level=3)
+        columns = [np.concatenate(c) for c in zip(*seen, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        shards, heads = np.unique(columns[0][order], return_index=True)
+        places = [_squeeze(*[c[own] for c in columns[1:]]) for own in np.split(order, heads[1:])] if len(shards) else []
+        texts = [zipped.compress(b"".join(held[k])) for k in shards.tolist()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-            names=["shard", "text", "sizes", "occurrences", "covered"])
+            [pa.array(shards, pa.int32()), pa.array(texts, pa.binary()), pa.array(places, pa.binary())], names=["shard", "text", "places"])
 
     return run
 
@@ -177,20 +257,22 @@ class Block:
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.array([len(p) for p in pieces])
         self.ends = np.cumsum(sizes)
-        words = packed(self.data)
-        order = suffix_array(words)
-        group = np.cumsum(common_prefixes(words, order, length) < length) - 1
-        owner = np.searchsorted(self.ends, order, "right")
+        self.words = packed(self.data)
+        order = suffix_array(self.words)
+        owner = np.repeat(np.arange(len(pieces)), sizes)[order]
         inside = order + length <= self.ends[owner]  # a string stands in one piece
-        self.position, self.piece, group = order[inside], owner[inside], group[inside]
-        new = np.ones(len(group), bool)
-        new[1:] = group[1:] != group[:-1]
-        heads = np.flatnonzero(new)
+        self.position, self.piece = order[inside], owner[inside]
+        new = common_prefixes(self.words, self.position, length) < length
+        new[:1] = True
+        self.heads = np.flatnonzero(new)
         self.group = np.cumsum(new) - 1
-        self.least = np.minimum.reduceat(dids[self.piece], heads) if len(heads) else np.zeros(0, np.int64)
-        self.strings = prefix_table(words, self.position[heads], length)
+        self.least = np.minimum.reduceat(dids[self.piece], self.heads) if len(self.heads) else np.zeros(0, np.int64)
         self.dids = dids
 
+    @cached_property
+    def strings(self) -> np.ndarray:
+        return prefix_table(self.words, self.position[self.heads], self.length)
+
     def meet(self, other: Block) -> None:
         """Give strings that both blocks hold the smaller id of the two."""
         small, large = sorted((self, other), key=lambda b: len(b.strings))
@@ -215,24 +297,24 @@ class Block:
 
 
 def _compare(length: int):
+    """Covered spans of the pieces of a shard, by document."""
+
     def run(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        found, done = [], []
-        for text, sizes, occurrences, covered in zip(
-            *(table.column(c).to_pylist() for c in ("text", "sizes", "occurrences", "covered")), strict=True
-        ):
-            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-            ids = np.array([number.setdefault(text[lo:hi], len(number)) for lo, hi in zip([0, *ends], ends, strict=False)], np.uint32)
-            own = np.frombuffer(occurrences, _OCCURRENCE).copy()
-            own["piece"] = ids[own["piece"]]
-            found.append(own)
-            done.append(np.frombuffer(covered, _OCCURRENCE))
-        seen, done = np.concatenate(found), np.concatenate(done)
+        seen = []
+        for text, places in zip(table.column("text").to_pylist(), table.column("places").to_pylist(), strict=True):
+            own = _spread(places, "<u4 <u4 <i8 <i4 <u4")
+            raw = zstandard.ZstdDecompressor().decompress(text)
+            each = np.zeros(int(own[0].max()) + 1, np.int64)
+            each[own[0]] = own[1]
+            ends = np.cumsum(each).tolist()
+            ids = np.array([number.setdefault(raw[lo:hi], len(number)) for lo, hi in zip([0, *ends], ends, strict=False)], np.int64)
+            seen.append((ids[own[0]], *own[1:]))
+        piece, size, did, th, at = (np.concatenate(c) for c in zip(*seen, strict=True))
         dids = np.full(len(number), NO_ID, np.int64)
-        np.minimum.at(dids, seen["piece"], seen["did"])
-        later = seen["did"] > dids[seen["piece"]]
-        done = np.concatenate([done, seen[later]])
-        first = seen[~later]
+        np.minimum.at(dids, piece, did)
+        later = did > dids[piece]
+        first = np.flatnonzero(~later)
         pieces = list(number)
         ends = np.cumsum([len(p) for p in pieces])
         blocks, lo = [], 0
@@ -243,37 +325,65 @@ def _compare(length: int):
         for k, (_, block) in enumerate(blocks):
             for _, other in blocks[:k]:
                 block.meet(other)
-        spans = [(piece + lo, start, size) for lo, block in blocks for piece, start, size in [block.covered()]]
-        piece, start, size = (np.concatenate(c) for c in zip(*spans, strict=True))
-        order = np.argsort(piece, kind="stable")
-        piece, start, size = piece[order], start[order], size[order]
-        low, high = np.searchsorted(piece, first["piece"], "left"), np.searchsorted(piece, first["piece"], "right")
-        again = np.repeat(np.arange(len(first)), high - low)
-        span = np.arange(len(again)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[again]
+        spans = [(covered + lo, start, many) for lo, block in blocks for covered, start, many in [block.covered()]]
+        covered, start, many = (np.concatenate(c) for c in zip(*spans, strict=True))
+        order = np.argsort(covered, kind="stable")
+        covered, start, many = covered[order], start[order], many[order]
+        low, high = np.searchsorted(covered, piece[first], "left"), np.searchsorted(covered, piece[first], "right")
+        again = np.repeat(first, high - low)
+        span = np.arange(len(again)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        did, th = np.concatenate([did[later], did[again]]), np.concatenate([th[later], th[again]])
+        found = np.empty(len(did), _PIECE)
+        found["at"] = np.concatenate([at[later], at[again] + start[span]])
+        found["size"] = np.concatenate([size[later], many[span]])
+        order = np.lexsort((th, did))
+        did, th, found = did[order], th[order], found[order]
+        heads = np.flatnonzero(np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]))) if len(did) else np.zeros(0, np.int64)
         return pa.table({
-            "did": np.concatenate([done["did"], first["did"][again]]),
-            "th": np.concatenate([done["th"], first["th"][again]]),
-            "at": np.concatenate([done["at"], first["at"][again] + start[span]]).astype(np.int32),
-            "size": np.concatenate([done["size"], size[span]]).astype(np.int32),
-        })
+            "did": did[heads], "th": th[heads],
+            "spans": pa.array([f.tobytes() for f in np.split(found, heads[1:])] if len(heads) else [], pa.binary())})
 
     return run
 
 
+def _key() -> Column:
+    return F.xxhash64("did", "th").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(did, th, doc, size) of texts that a document with a smaller id holds as they are."""
+    light = keyed.select("did", "th", "doc", F.octet_length("text").alias("size"), F.md5("text").alias("digest"),
+                         F.pmod("did", F.lit(SALTS)).alias("salt"))
+    parts = light.groupBy("digest", "size", "salt").agg(F.min("did").alias("low"))
+    low = parts.groupBy("digest", "size").agg(F.min("low").alias("rep"))
+    reps = parts.join(low, ["digest", "size"]).select("digest", "size", "salt", "rep")
+    return light.join(reps, ["digest", "size", "salt"]).where("did > rep").select("did", "th", "doc", "size")
+
+
 def covered_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(did, th, at, size): spans to remove, overlapping ones included; `keyed` has did, th (hash of the text), text."""
-    keyed = keyed.select("did", "th", "text")
+    """(did, th, spans): spans to remove, overlapping ones included, null for a whole text.
+
+    `keyed` has did, th (hash of the text), doc, text. Copies are covered whole and take no part in what follows.
+    """
+    keyed = keyed.select("text", "did", "th", "doc")
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, int(total // SHARD_BYTES))
-    flagged = keyed.mapInArrow(_listed(length, shards), LISTED).groupBy("shard").applyInArrow(_flag, FLAGGED)
-    asked = flagged.groupBy("did", "th").agg(F.collect_list(F.struct("at", "many", "key")).alias("own"))
-    sent = keyed.join(asked.hint("merge"), ["did", "th"]).select("did", "th", "text", "own").mapInArrow(_send(length), SENT)
-    return sent.groupBy("shard").applyInArrow(_compare(length), COVERED)
+    copies = staged(_copies(keyed), "copies")
+    gone = copies.select(*[F.col(c).alias(f"copy_{c}") for c in ("doc", "did", "th")]).distinct().hint("merge")
+    # Partitioned by `doc` alone, as in the joins below, so that one exchange of the texts serves all three.
+    same = (F.col("doc") == F.col("copy_doc")) & F.col("did").between(F.col("copy_did"), F.col("copy_did")) & F.col("th").between(F.col("copy_th"), F.col("copy_th"))
+    rest = keyed.join(gone, same, "left_anti")
+    listed = rest.select("doc", "text").mapInArrow(_listed(length, shards), LISTED)
+    flagged = listed.groupBy("shard").applyInArrow(_flag(length), FLAGGED)
+    asked = flagged.groupBy("doc").agg(F.collect_list(F.struct("shard", "pieces")).alias("own"))
+    sent = rest.join(asked.hint("merge"), "doc").select("did", "th", "text", "own").mapInArrow(_send(length), SENT)
+    found = sent.groupBy("shard").applyInArrow(_compare(length), COVERED)
+    return found.unionAll(copies.where(F.col("size") >= length).select("did", "th", F.lit(None).cast("binary")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({
-        "did": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.hash(rows.text_of()), "text": rows.text_of()})
+        "did": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.hash(rows.text_of()), "text": rows.text_of()}).withColumn("doc", _key())
 
 
 def removed(size: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -295,14 +405,16 @@ def _kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _row_spans(column: pa.Array, k: int) -> list[tuple[int, int]]:
-    own = column[k].values
-    return [] if own is None else list(zip(*(own.field(c).to_numpy(zero_copy_only=False).tolist() for c in range(2)), strict=True))
+def _row_spans(own: list[dict] | None, did: int, th: int) -> list[tuple[int, int]]:
+    mine = [o["spans"] for o in own or () if o["did"] == did and o["th"] == th]
+    if None in mine:
+        return [(0, NO_ID)]
+    return [span for spans in mine for span in np.frombuffer(spans, _PIECE).tolist()]
 
 
 def _with_spans(keyed: DataFrame, length: int) -> DataFrame:
-    found = covered_spans(keyed, length).groupBy("did", "th").agg(F.collect_list(F.struct("at", "size")).alias("own"))
-    return keyed.join(found.hint("merge"), ["did", "th"], "left")
+    found = covered_spans(keyed, length).groupBy(_key().alias("doc")).agg(F.collect_list(F.struct("did", "th", "spans")).alias("own"))
+    return keyed.join(found.hint("merge"), "doc", "left")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -312,37 +424,39 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py().encode()
-                gone = removed(len(text), _row_spans(batch.column(2), k))
+                did, th, text, own = (c[k].as_py() for c in batch.columns)
+                text = text.encode()
+                gone = removed(len(text), _row_spans(own, did, th))
                 out.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(text, gone)).hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                names=["did", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    keyed = _keyed(docs).select("did", "th", "text")
-    return _with_spans(keyed, length).select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "text", "own").mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    keyed = _keyed(docs).select("text", "did", "th", "doc")
+    made = _with_spans(keyed, length).select("did", "th", "text", "own").mapInArrow(
+        run, "did bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return made.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes; `n_chars`, if there, is counted again."""
-    columns = [c for c in docs.columns if c != "n_chars"]
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    others = [c for c in docs.columns if c not in ("n_chars", "text")]
+    inner = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("missing"), *others).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                own = _row_spans(batch.column(2), k)
-                text = batch.column(1)[k].as_py()
-                out.append(_kept(text.encode(), removed(len(text.encode()), own)).decode("utf-8", "ignore") if own else text)
+                did, th, text, own = (batch.column(c)[k].as_py() for c in range(1, 5))
+                gone = _row_spans(own, did, th)
+                out.append(_kept(text.encode(), removed(len(text.encode()), gone)).decode("utf-8", "ignore") if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "kept"])
 
-    joined = _with_spans(_keyed(inner).select("row", "did", "th", "text"), length)
-    kind = inner.select("row").schema["row"].dataType.simpleString()
-    kept = joined.select("row", "text", "own").mapInArrow(run, f"row {kind}, kept string")
-    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
-    made = kept.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns],
-                       *([F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []))
-    return made.select(*docs.columns)
+    joined = _with_spans(_keyed(inner).select("row", "did", "th", "doc", "text"), length)
+    kind = inner.schema["row"].dataType.simpleString()
+    kept = joined.select("row", "did", "th", "text", "own").mapInArrow(run, f"row {kind}, kept string")
+    made = {c: F.col("row").getField(c) for c in others} | {"text": F.when(~F.col("row.missing"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[made[c].alias(c) for c in docs.columns])
