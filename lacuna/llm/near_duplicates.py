@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 NEIGHBOURS = 6
 SALTS = 32
 NO_ID = 2**63 - 1
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def sketches(row: np.ndarray, value: np.ndarray, times: np.ndarray, texts: int, registers: int) -> np.ndarray:
