@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """Return freed memory to the machine when a task ends: a Python worker that waits for its next task would keep it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, one after the other; offsets, one more than texts); a missing text is empty."""

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.arrow import tidy
+
 CHARS_PER_EDIT = 16
 MIN_CHARS = 24
 #: Characters of the items in a block.
@@ -150,7 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_E
                         names=["doc_id", "item_id", "distance", "match_start", "match_end"],
                     )
 
-        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(run, MATCHES))
+        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(tidy(run), MATCHES))
     return out
 
 
@@ -166,5 +168,5 @@ def clean(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDI
                 keep = [not matcher.find(prepared(texts[k].as_py())) for k in range(batch.num_rows)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

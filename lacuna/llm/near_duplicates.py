@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import rows
-from lacuna.llm.arrow import slices
+from lacuna.llm.arrow import slices, tidy
 from lacuna.llm.components import components, resolve
 from lacuna.llm.shingles import counted, mix, shingles
 from lacuna.session import staged
@@ -37,7 +37,9 @@ from lacuna.session import staged
 BANDS, DEPTH = 24, 4
 SIMILARITY = 0.8
 #: Predecessors in the order of a band that a text is paired with, beside the first of its group.
-NEIGHBOURS = 6
+NEIGHBOURS = 3
+#: Bands in which a pair must agree to be verified after the first round; at a similarity of 0.8, 10 of 24 are expected.
+LEAST_BANDS = 3
 SALTS = 32
 NO_ID = 2**63 - 1
 SLICE_BYTES = 500_000
@@ -79,7 +81,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFrame
                     pa.array(np.concatenate([[0], np.cumsum(any_word * bands)]).astype(np.int32)), pa.array(keys[any_word].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["did", "digest", "keys"])
 
-    return docs.select("did", "digest", "text").mapInArrow(run, "did bigint, digest string, keys array<bigint>")
+    return docs.select("did", "digest", "text").mapInArrow(tidy(run), "did bigint, digest string, keys array<bigint>")
 
 
 def band_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -121,7 +123,7 @@ def band_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
         if begun is not None:
             yield out([begun, (key, before[-1])], True)
 
-    found = staged(ranged.select("did", "key").mapInArrow(run, "a bigint, b bigint, cut boolean"), "pairs")
+    found = staged(ranged.select("did", "key").mapInArrow(tidy(run), "a bigint, b bigint, cut boolean"), "pairs")
     ends = found.where("cut").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("ids")).where("size(ids) > 1")
     linked = ends.select(F.explode(F.arrays_zip(
         F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
@@ -160,7 +162,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
                 yield pa.RecordBatch.from_arrays(
                     [c.filter(pa.array(alike)) for c in part.columns[:2]], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def digest(text: Column) -> Column:
@@ -177,7 +179,7 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     parts = staged(salted.groupBy("digest", "salt").agg(F.min("did").alias("low")), "parts")
     reps = parts.join(parts.groupBy("digest").agg(F.min("low").alias("rep")), "digest").select("digest", "salt", "rep")
     owned = staged(salted.join(reps, ["digest", "salt"]), "members")
-    nodes = owned.where("did = rep AND size(keys) > 0").select("did", "keys").dropDuplicates(["did"])
+    nodes = staged(owned.where("did = rep AND size(keys) > 0").select("did", "keys").dropDuplicates(["did"]), "nodes")
     pairs = staged(band_pairs(nodes), "candidates")
     chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     alone = texts.join(pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct(), "did", "left_semi").dropDuplicates(["did"])
@@ -185,6 +187,9 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     roots = components(verified(chosen, alone, similarity))
     rest = resolve(resolve(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
     rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    keys = nodes.select("did", "keys")
+    agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda e: e))
+    rest = rest.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b").where(agree >= LEAST_BANDS).select("a", "b")
     more = resolve(resolve(verified(staged(rest, "rest"), alone, similarity), "a", roots, "ra"), "b", roots, "rb")
     higher = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     final = resolve(resolve(owned.select("did", "digest", "rep"), "rep", roots, "root"), "root", higher, "class")

@@ -25,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.arrow import slices, utf8
+from lacuna.llm.arrow import slices, tidy, utf8
 from lacuna.llm.shingles import word_hashes
 from lacuna.session import staged
 
 SIZE = 2048
 END = 0
 #: Words kept in a task's lookup table; it starts anew beyond that.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 500_000
 #: Parts in which the pieces of one length are ranked.
 PARTS = 64
 #: Text prepared at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -161,7 +161,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import rows
-from lacuna.llm.arrow import slices, utf8
+from lacuna.llm.arrow import slices, tidy, utf8
 from lacuna.llm.shingles import mix
 from lacuna.llm.suffix_arrays import common_prefixes, packed, prefix_table, search, suffix_array
 from lacuna.session import staged
@@ -43,7 +43,7 @@ WORD = 20
 NO_ID = 2**63 - 1
 #: Text of all documents for each shard, and the least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 4_000_000, 256
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Text of a task that is listed, and pieces of a task that are made distinct, at once.
 TASK_BYTES = 16_000_000
 PIECE_BYTES = 32_000_000
@@ -373,10 +373,10 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     # Partitioned by `doc` alone, as in the joins below, so that one exchange of the texts serves all three.
     same = (F.col("doc") == F.col("copy_doc")) & F.col("did").between(F.col("copy_did"), F.col("copy_did")) & F.col("th").between(F.col("copy_th"), F.col("copy_th"))
     rest = keyed.join(gone, same, "left_anti")
-    listed = rest.select("doc", "text").mapInArrow(_listed(length, shards), LISTED)
+    listed = rest.select("doc", "text").mapInArrow(tidy(_listed(length, shards)), LISTED)
     flagged = listed.groupBy("shard").applyInArrow(_flag(length), FLAGGED)
     asked = flagged.groupBy("doc").agg(F.collect_list(F.struct("shard", "pieces")).alias("own"))
-    sent = rest.join(asked.hint("merge"), "doc").select("did", "th", "text", "own").mapInArrow(_send(length), SENT)
+    sent = rest.join(asked.hint("merge"), "doc").select("did", "th", "text", "own").mapInArrow(tidy(_send(length)), SENT)
     found = sent.groupBy("shard").applyInArrow(_compare(length), COVERED)
     return found.unionAll(copies.where(F.col("size") >= length).select("did", "th", F.lit(None).cast("binary")))
 

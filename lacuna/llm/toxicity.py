@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.arrow import tidy
+
 SAMPLE_ROWS = 30_000
 #: Lexicon entries and patterns kept, the strongest first; a bound on the model.
 ENTRIES = 5_000
 STARTS = (4, 5, 6)
 THRESHOLD = 0.7
 VOTERS_OF_A_KIND = 12
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: An entry must be so many times likelier in toxic documents.
 LEAST_RATIO = 50.0
 
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
                 names=["doc", "entries", "words", "shouting", "marks", "toxic"],
             )
 
-    features = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, FEATURES + ", toxic int").persist()
+    features = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(run), FEATURES + ", toxic int").persist()
     sizes = {r.toxic: r["count"] for r in features.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         features.unpersist()
@@ -211,7 +213,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = TH
             )
 
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
-        run, "doc_id bigint, held_out boolean, score double, predicted int"
+        tidy(run), "doc_id bigint, held_out boolean, score double, predicted int"
     )
 
 
@@ -225,4 +227,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             texts = batch.column(text_at)
             yield batch.filter(pa.array([scorer.of(texts[k].as_py()) < threshold for k in range(batch.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
