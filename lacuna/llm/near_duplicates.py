@@ -37,9 +37,7 @@ from lacuna.session import staged
 BANDS, DEPTH = 24, 4
 SIMILARITY = 0.8
 #: Predecessors in the order of a band that a text is paired with, beside the first of its group.
-NEIGHBOURS = 3
-#: Bands in which a pair must agree to be verified after the first round; at a similarity of 0.8, 10 of 24 are expected.
-LEAST_BANDS = 3
+NEIGHBOURS = 6
 SALTS = 32
 NO_ID = 2**63 - 1
 SLICE_BYTES = 500_000
@@ -187,9 +185,6 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     roots = components(verified(chosen, alone, similarity))
     rest = resolve(resolve(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
     rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    keys = nodes.select("did", "keys")
-    agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda e: e))
-    rest = rest.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b").where(agree >= LEAST_BANDS).select("a", "b")
     more = resolve(resolve(verified(staged(rest, "rest"), alone, similarity), "a", roots, "ra"), "b", roots, "rb")
     higher = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     final = resolve(resolve(owned.select("did", "digest", "rep"), "rep", roots, "root"), "root", higher, "class")
