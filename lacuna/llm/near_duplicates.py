@@ -6,10 +6,12 @@ falls on one of the registers, which keep their earliest shingle. A process ends
 register of its text (all texts of a batch advance together). The share of equal registers estimates the similarity.
 
 Texts that agree in all registers of a band meet. A band's texts are range-partitioned by its value and then by further
-bands, so that a large group spreads over tasks with its most similar members side by side; a text is paired with the
-first of its group in the task and with its nearest predecessors, and groups cut by a task's bounds are linked at their
-ends. So pairs grow with the texts, not with their squares. Each text's best pair is verified first on the exact
-similarity of whole texts; pairs between the classes that this leaves are then verified all.
+bands, so that a large group spreads over tasks with its most similar members side by side, and groups cut by a task's
+bounds are linked at their ends. A first round pairs each text with the first of its group in the task and its nearest
+predecessor, and verifies the best pair of each text on the exact similarity of whole texts. A second round pairs the
+texts that met any other with the nearest predecessors of other classes, and verifies all of these. So pairs grow with
+the texts, not with their squares. Before whole texts are fetched, a pair's similarity is estimated from the registers,
+and only pairs whose estimate is more than five standard deviations too low are passed over.
 
 Equal texts are one node from the start. The class id is the smallest doc_id of a class.
 
@@ -22,6 +24,7 @@ id; repeated rows share a class; an empty table gives no rows. Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from lacuna.session import staged
 
 BANDS, DEPTH = 24, 4
 SIMILARITY = 0.8
-#: Predecessors in the order of a band that a text is paired with, beside the first of its group.
+#: Classes among the predecessors in the order of a band that a text is paired with, beside the first of its group.
 NEIGHBOURS = 6
+#: Standard deviations that an estimate may lie below the similarity asked for.
+DEVIATIONS = 5
 SALTS = 32
 NO_ID = 2**63 - 1
 SLICE_BYTES = 500_000
@@ -65,29 +70,41 @@ def sketches(row: np.ndarray, value: np.ndarray, times: np.ndarray, texts: int,
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
-    """(did, digest, keys): a 64-bit key for each band; none where the text has no words."""
+    """(did, digest, keys, marks): a 64-bit key for each band, none where the text has no words; a byte for each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mix(np.arange(1, bands * depth + 1).astype(np.uint64)).reshape(bands, depth)
         for batch in batches:
             for part in slices(batch, 2, SLICE_BYTES):
                 row, value, times = counted(*shingles(part.column(2)))
-                found = sketches(row, value, times, part.num_rows, bands * depth).reshape(-1, bands, depth).astype(np.uint64)
+                owner = sketches(row, value, times, part.num_rows, bands * depth)
+                marks = pa.array([m.tobytes() for m in (owner >> np.uint32(24)).astype(np.uint8)], pa.binary())
+                found = owner.reshape(-1, bands, depth).astype(np.uint64)
                 keys = mix((mix(found * weights) * weights).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 any_word = np.bincount(row, minlength=part.num_rows) > 0
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(any_word * bands)]).astype(np.int32)), pa.array(keys[any_word].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["did", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, marks], names=["did", "digest", "keys", "marks"])
 
-    return docs.select("did", "digest", "text").mapInArrow(tidy(run), "did bigint, digest string, keys array<bigint>")
+    return docs.select("did", "digest", "text").mapInArrow(tidy(run), "did bigint, digest string, keys array<bigint>, marks binary")
 
 
-def band_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, shared): candidate pairs a < b with the number of bands in which they were paired."""
+def likeness_bound(similarity: float, registers: int) -> float:
+    """The smallest share of equal registers that a pair of such a similarity is expected to show."""
+    return similarity - DEVIATIONS * sqrt(similarity * (1 - similarity) / registers)
+
+
+def band_pairs(nodes: DataFrame, neighbours: int, similarity: float) -> DataFrame:
+    """(a, b): candidate pairs a < b of texts (did, class, keys, marks) in different classes.
+
+    Where `marks` are not empty, pairs whose estimate is too low are passed over in the task that finds them.
+    """
     many = F.size("keys")
     nth = F.col("band")
-    entries = nodes.select("did", "keys", F.explode(F.sequence(F.lit(0), many - 1)).alias("band")).select(
+    entries = nodes.select("did", "class", "keys", "marks", F.explode(F.sequence(F.lit(0), many - 1)).alias("band")).select(
         "did",
+        "class",
+        "marks",
         F.xxhash64(nth, F.element_at("keys", nth + 1)).alias("key"),
         F.element_at("keys", F.pmod(nth + 7, many) + 1).alias("then"),
         F.element_at("keys", F.pmod(nth + 15, many) + 1).alias("last"),
@@ -102,31 +119,55 @@ def band_pairs(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cut] * len(a))], names=["a", "b", "cut"])
 
-        before: list[int] = []
-        first = key = begun = None
+        def likely(mine: np.ndarray, other: np.ndarray) -> bool:
+            return not mine.size or np.count_nonzero(mine == other) >= likeness_bound(similarity, mine.size) * mine.size
+
+        # The last text of each of the latest classes of a group, the oldest class first: class -> (did, marks).
+        latest: dict[int, tuple[int, np.ndarray]] = {}
+        first = key = begun = last = None
         for batch in batches:
             pairs = []
-            for did, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for did, own, kind, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                me = (did, np.frombuffer(marks, np.uint8))
                 if own != key:
-                    before, first, key = [], did, own
+                    latest, first, key = {}, (kind, me), own
                     if begun is None:
                         begun = (own, did)
                 else:
-                    pairs += [(other, did) for other in before]
-                    if first not in before:
-                        pairs.append((first, did))
-                before = [*before[1 - neighbours :], did] if len(before) >= neighbours else [*before, did]
+                    others = latest if first[0] in latest else latest | dict([first])
+                    pairs += [(other, did) for group, (other, seen) in others.items() if group != kind and likely(me[1], seen)]
+                latest.pop(kind, None)
+                latest[kind], last = me, did
+                if len(latest) > neighbours:
+                    del latest[next(iter(latest))]
             if pairs:
                 yield out(pairs, False)
         if begun is not None:
-            yield out([begun, (key, before[-1])], True)
+            yield out([begun, (key, last)], True)
 
-    found = staged(ranged.select("did", "key").mapInArrow(tidy(run), "a bigint, b bigint, cut boolean"), "pairs")
+    found = staged(ranged.select("did", "key", "class", "marks").mapInArrow(tidy(run), "a bigint, b bigint, cut boolean"), "pairs")
     ends = found.where("cut").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("ids")).where("size(ids) > 1")
     linked = ends.select(F.explode(F.arrays_zip(
         F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     pairs = found.where("NOT cut").select("a", "b").unionAll(linked)
-    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, estimate): the pairs whose share of equal registers may belong to such a similarity."""
+    a, b = (nodes.select(F.col("did").alias(c), F.col("marks").alias(f"marks_{c}")) for c in "ab")
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "marks_a", "marks_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                share = (x == y).mean(axis=1)
+                keep = pa.array(share >= likeness_bound(similarity, x.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [c.filter(keep) for c in (batch.column(0), batch.column(1), pa.array(share))], names=["a", "b", "estimate"])
+
+    return joined.mapInArrow(run, "a bigint, b bigint, estimate double")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -177,14 +218,16 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     parts = staged(salted.groupBy("digest", "salt").agg(F.min("did").alias("low")), "parts")
     reps = parts.join(parts.groupBy("digest").agg(F.min("low").alias("rep")), "digest").select("digest", "salt", "rep")
     owned = staged(salted.join(reps, ["digest", "salt"]), "members")
-    nodes = staged(owned.where("did = rep AND size(keys) > 0").select("did", "keys").dropDuplicates(["did"]), "nodes")
-    pairs = staged(band_pairs(nodes), "candidates")
-    chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    alone = texts.join(pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct(), "did", "left_semi").dropDuplicates(["did"])
-    alone = staged(alone.select("did", "text"), "texts")
+    nodes = staged(owned.where("did = rep AND size(keys) > 0").select("did", "keys", "marks").dropDuplicates(["did"]), "nodes")
+    pairs = staged(band_pairs(nodes.withColumns({"class": F.col("did"), "marks": F.lit(b"")}), 1, similarity), "candidates")
+    # A text in no pair is alone in all its groups.
+    met = pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct()
+    alone = staged(texts.join(met, "did", "left_semi").dropDuplicates(["did"]).select("did", "text"), "texts")
+    likely = estimated(pairs, nodes, similarity)
+    chosen = staged(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")), "chosen")
     roots = components(verified(chosen, alone, similarity))
-    rest = resolve(resolve(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
-    rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    again = resolve(nodes.join(met, "did", "left_semi"), "did", roots, "class")
+    rest = band_pairs(again, NEIGHBOURS, similarity).join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     more = resolve(resolve(verified(staged(rest, "rest"), alone, similarity), "a", roots, "ra"), "b", roots, "rb")
     higher = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     final = resolve(resolve(owned.select("did", "digest", "rep"), "rep", roots, "root"), "root", higher, "class")
