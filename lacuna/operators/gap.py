@@ -66,13 +66,20 @@ def gap_headline(
 
 
 def gap_grid(
-    checklist: DataFrame, agg: DataFrame, regions: DataFrame, groups: Sequence[str], years: tuple[int, int]
-) -> DataFrame:
+    checklist: DataFrame, agg: DataFrame, regions: DataFrame,
+    groups: Sequence[str] | None = None, years: Sequence[int] | None = None,
+) -> DataFrame:
     """Found and missing species for every group × region × year at once, empty cells included.
 
-    The complement is counted, not listed: species in the group minus distinct species found. The grid of
-    code lists is built by exploding literals over the region list, so no join lacks an equality key.
+    Groups are those of the checklist and years those of the observations unless given: two short code lists,
+    read by distinct aggregates. The complement is counted, not listed: species in the group minus distinct
+    species found. The grid is built by exploding the code lists over the region list, so no join lacks an
+    equality key.
     """
+    if groups is None:
+        groups = [r[0] for r in checklist.where("taxon_group IS NOT NULL").select("taxon_group").distinct().collect()]
+    if years is None:
+        years = [r[0] for r in agg.where("year IS NOT NULL").select("year").distinct().collect()]
     found = (
         agg.join(checklist.select("ktsn", "taxon_group"), "ktsn")
         .groupBy("taxon_group", "region", "year")
@@ -81,8 +88,8 @@ def gap_grid(
     totals = checklist.groupBy("taxon_group").agg(F.count(F.lit(1)).alias("n_species"))
     grid = (
         regions.select("region")
-        .withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
-        .withColumn("taxon_group", F.explode(F.array(*[F.lit(g) for g in groups])))
+        .withColumn("year", F.explode(F.array(*[F.lit(y) for y in years]).cast("array<int>")))
+        .withColumn("taxon_group", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")))
     )
     n_found = F.coalesce("n_found", F.lit(0))
     return (

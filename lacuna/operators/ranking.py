@@ -18,6 +18,13 @@ def _chunk(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+def _join_back(df: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row with its chunk's line; missing groups and missing orders find each other."""
+    renamed = chunks.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [df[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys]
+    return df.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def number_rows(
     df: DataFrame, group: Sequence[str], order: str, out: str, ties: Sequence[str] = (), width: int = CHUNK
 ) -> DataFrame:
@@ -33,8 +40,7 @@ def number_rows(
         .drop("_n")
     )
     return (
-        df.withColumn("_in_chunk", F.row_number().over(inner) - 1)
-        .join(offsets, [*group, "_chunk"])
+        _join_back(df.withColumn("_in_chunk", F.row_number().over(inner) - 1), offsets, [*group, "_chunk"])
         .withColumn(out, (F.col("_before") + F.col("_in_chunk")).cast("bigint"))
         .drop("_chunk", "_before", "_in_chunk")
     )
@@ -55,8 +61,7 @@ def carry_forward(
         .drop("_last")
     )
     return (
-        df.withColumn("_own", F.last("_value", ignorenulls=True).over(upto))
-        .join(chunks, [*group, "_chunk"])
+        _join_back(df.withColumn("_own", F.last("_value", ignorenulls=True).over(upto)), chunks, [*group, "_chunk"])
         .withColumn(out, F.coalesce("_own", "_carried"))
         .drop("_chunk", "_value", "_own", "_carried")
     )

@@ -99,13 +99,17 @@ def resolve_names(
     With a larger one, keys and lookups are worked out once per distinct pair of names, kept as a table and
     joined back, so that the observations are moved once instead of once per lookup.
     """
+    added = ("ktsn", "how", "ktsn_sci", "ktsn_kor")
     if planned_small(lookup):
-        return judge(with_name_keys(obs, sci, kor), lookup, overrides).drop("sci_key", "kor_key")
+        return judge(with_name_keys(obs, sci, kor), lookup, overrides).select(*obs.columns, *added)
     columns = [sci] + ([kor] if kor else [])
-    # '' and NULL both mean a missing name; one form lets the names be joined back.
-    filled = obs.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-    pairs = judge(with_name_keys(filled.select(*columns).distinct(), sci, kor), lookup, overrides)
-    return spread_join(filled, staged(pairs.drop("sci_key", "kor_key"), "resolved-names"), columns, obs.columns)
+    # '' and NULL both mean a missing name; one form, beside the names as they are, lets them be joined back.
+    probes = {f"_name_{i}": F.coalesce(c, F.lit("")) for i, c in enumerate(columns)}
+    probed = obs.withColumns(probes)
+    asked = probed.select(*probes).distinct()
+    pairs = judge(with_name_keys(asked, "_name_0", "_name_1" if kor else None), lookup, overrides)
+    joined = spread_join(probed, staged(pairs.select(*probes, *added), "resolved-names"), list(probes), obs.columns)
+    return joined.select(*obs.columns, *added)
 
 
 def coverage_report(

@@ -9,7 +9,7 @@ from lacuna.functions import values
 from lacuna.operators import gap, observe, publish
 from lacuna.plans import duck
 from lacuna.plans.registry import query
-from lacuna.plans.standin import GROUPS, Inputs
+from lacuna.plans.standin import Inputs
 from lacuna.session import scratch_path, staged
 from lacuna.sources import readers, writers
 
@@ -92,7 +92,7 @@ def gap_headline(i: Inputs) -> DataFrame:
 
 
 _GRID = """
-, rg AS (SELECT DISTINCT region FROM v_obs), yr AS (SELECT unnest(range(1995, 2002)) AS year)
+, rg AS (SELECT DISTINCT region FROM v_obs), yr AS (SELECT DISTINCT year FROM v_obs WHERE year IS NOT NULL)
 , t AS (SELECT taxon_group, count(*) AS n_species FROM v_check GROUP BY 1)
 , f AS (SELECT c.taxon_group, a.region, a.year, count(DISTINCT a.ktsn) AS n_found FROM v_agg a JOIN v_check c ON c.ktsn = a.ktsn GROUP BY 1, 2, 3)
 , grid AS (SELECT t.taxon_group, rg.region, CAST(yr.year AS INT) AS year, t.n_species, coalesce(f.n_found, 0) AS n_found, t.n_species - coalesce(f.n_found, 0) AS n_gap
@@ -102,7 +102,7 @@ _GRID = """
 def grid(i: Inputs) -> DataFrame:
     regions = i.obs().select("region").distinct()
     seen = i.obs().select("ktsn", "region", "year").distinct()
-    return gap.gap_grid(i.check(), seen, regions, GROUPS, (1995, 2001))
+    return gap.gap_grid(i.check(), seen, regions)
 
 
 @query("gap_grid", _GRID + " SELECT * FROM grid")
@@ -239,12 +239,12 @@ def filter_service(i: Inputs) -> DataFrame:
 @query(
     "taxa_summary",
     """, l AS (SELECT taxon_group, count(*) AS n_species FROM v_check GROUP BY 1)
-    , s AS (SELECT taxon_group, count(DISTINCT ktsn) AS n_obs_species, CAST(sum(obs_count) AS BIGINT) AS n_records FROM v_gagg WHERE taxon_group <> 'VP' GROUP BY 1)
+    , s AS (SELECT taxon_group, count(DISTINCT ktsn) AS n_obs_species, CAST(sum(obs_count) AS BIGINT) AS n_records FROM v_gagg GROUP BY 1)
     SELECT l.taxon_group, l.n_species, coalesce(s.n_obs_species, 0) AS n_obs_species, coalesce(s.n_records, 0) AS n_records,
       coalesce(s.n_records, 0) > 0 AS has_data FROM l LEFT JOIN s ON s.taxon_group = l.taxon_group""",
 )
 def taxa_summary(i: Inputs) -> DataFrame:
-    return publish.taxa_summary(i.check(), group_agg(i).where("taxon_group <> 'VP'"))
+    return publish.taxa_summary(i.check(), group_agg(i))
 
 
 @query(

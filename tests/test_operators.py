@@ -116,6 +116,10 @@ def test_verdicts(spark, threshold):
         obs = spark.createDataFrame([(i, s, k) for i, (s, k, _, _) in enumerate(VERDICTS)], "i int, sci_name string, kor_name string")
         got = resolve.resolve_names(obs, lookup, over).orderBy("i").collect()
         assert [(r.ktsn, r.how) for r in got] == [(k, h) for _, _, k, h in VERDICTS]
+        bare = spark.createDataFrame([(1, None, "kept", None), (2, "", "kept", "")], "i int, sci_name string, note string, kor_name string")
+        bare = resolve.resolve_names(bare, lookup, over)
+        assert bare.columns == ["i", "sci_name", "note", "kor_name", "ktsn", "how", "ktsn_sci", "ktsn_kor"]
+        assert [tuple(r)[:6] for r in bare.orderBy("i").collect()] == [(1, None, "kept", None, None, "none"), (2, "", "kept", "", None, "none")]
         alone = resolve.resolve_names(obs, lookup, over, kor=None).select("how").distinct().collect()
         assert {r.how for r in alone} <= {"override", "sci", "none"}
     finally:
@@ -345,3 +349,25 @@ def test_merge_editions(spark):
         ],
         key=str,
     )
+
+
+def test_numbering_keeps_missing_groups_and_orders(spark):
+    from lacuna.operators import ranking
+
+    rows = [("a", 1, "x"), ("a", 70_000, None), ("a", None, "n"), (None, 5, "y"), (None, 6, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "g string, o long, v string")
+    numbered = ranking.number_rows(df, ["g"], "o", "at")
+    assert {(r.g, r.o): r["at"] for r in numbered.collect()} == {
+        ("a", None): 0, ("a", 1): 1, ("a", 70_000): 2, (None, None): 0, (None, 5): 1, (None, 6): 2}
+    carried = ranking.carry_forward(df, ["g"], "o", F.col("v"), "last")
+    assert {(r.g, r.o): r["last"] for r in carried.collect()} == {
+        ("a", None): "n", ("a", 1): "x", ("a", 70_000): "x", (None, None): None, (None, 5): "y", (None, 6): "y"}
+
+
+def test_grid_takes_groups_and_years_from_the_data(spark):
+    from lacuna.operators import gap
+
+    listed = spark.createDataFrame([(1, "AA"), (2, "BB"), (3, "BB")], "ktsn long, taxon_group string")
+    seen = spark.createDataFrame([(1, "R", 2031), (2, "R", 1980), (3, "Q", None)], "ktsn long, region string, year int")
+    got = {(r.taxon_group, r.region, r.year): (r.n_found, r.n_gap) for r in gap.gap_grid(listed, seen, seen.select("region").distinct()).collect()}
+    assert len(got) == 8 and got["AA", "R", 2031] == (1, 0) and got["BB", "R", 1980] == (1, 1) and got["BB", "Q", 1980] == (0, 2)
