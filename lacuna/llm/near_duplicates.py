@@ -221,7 +221,7 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     nodes = staged(owned.where("did = rep AND size(keys) > 0").select("did", "keys", "marks").dropDuplicates(["did"]), "nodes")
     pairs = staged(band_pairs(nodes.withColumns({"class": F.col("did"), "marks": F.lit(b"")}), 1, similarity), "candidates")
     # A text in no pair is alone in all its groups.
-    met = pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct()
+    met = staged(pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct(), "met")
     alone = staged(texts.join(met, "did", "left_semi").dropDuplicates(["did"]).select("did", "text"), "texts")
     likely = estimated(pairs, nodes, similarity)
     chosen = staged(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")), "chosen")
