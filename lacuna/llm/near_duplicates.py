@@ -5,13 +5,14 @@ is the plain Jaccard where no shingle repeats. Every shingle is a Poisson proces
 falls on one of the registers, which keep their earliest shingle. A process ends as soon as it is later than the latest
 register of its text (all texts of a batch advance together). The share of equal registers estimates the similarity.
 
-Texts that agree in all registers of a band meet. A band's texts are range-partitioned by its value and then by further
-bands, so that a large group spreads over tasks with its most similar members side by side, and groups cut by a task's
-bounds are linked at their ends. A first round pairs each text with the first of its group in the task and its nearest
-predecessor, and verifies the best pair of each text on the exact similarity of whole texts. A second round pairs the
-texts that met any other with the nearest predecessors of other classes, and verifies all of these. So pairs grow with
-the texts, not with their squares. Before whole texts are fetched, a pair's similarity is estimated from the registers,
-and only pairs whose estimate is more than five standard deviations too low are passed over.
+Texts that agree in all registers of a band meet. A first, cheap round orders a band's texts by its value and then by
+further bands, pairs each text with the first of its group in the task and its predecessor (groups cut by a task's bounds
+are linked at their ends), and verifies the likeliest pair of each text on the exact similarity of whole texts. It only
+closes most groups early. A second round decides all the rest: in every group that still holds two classes, each two
+texts of different classes are compared, in the first band in which they meet. Groups are dealt into blocks, and each two
+blocks are a unit of work, so no task holds a large group. A unit estimates its pairs from the registers, passes over
+only those more than five standard deviations too low, and verifies the others on the exact similarity of whole texts.
+Rows that move are texts in units, never pairs.
 
 Equal texts are one node from the start. The class id is the smallest doc_id of a class.
 
@@ -39,8 +40,10 @@ from lacuna.session import staged
 
 BANDS, DEPTH = 24, 4
 SIMILARITY = 0.8
-#: Classes among the predecessors in the order of a band that a text is paired with, beside the first of its group.
-NEIGHBOURS = 6
+#: Texts in a block of a large group; a unit holds two blocks.
+BLOCK = 512
+#: Shingles of so many texts of a unit are counted by a matrix product.
+MANY = 8
 #: Standard deviations that an estimate may lie below the similarity asked for.
 DEVIATIONS = 5
 SALTS = 32
@@ -94,17 +97,12 @@ def likeness_bound(similarity: float, registers: int) -> float:
     return similarity - DEVIATIONS * sqrt(similarity * (1 - similarity) / registers)
 
 
-def band_pairs(nodes: DataFrame, neighbours: int, similarity: float) -> DataFrame:
-    """(a, b): candidate pairs a < b of texts (did, class, keys, marks) in different classes.
-
-    Where `marks` are not empty, pairs whose estimate is too low are passed over in the task that finds them.
-    """
+def band_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs a < b of texts (did, keys): every text of a group is in one, but not with every other."""
     many = F.size("keys")
     nth = F.col("band")
-    entries = nodes.select("did", "class", "keys", "marks", F.explode(F.sequence(F.lit(0), many - 1)).alias("band")).select(
+    entries = nodes.select("did", "keys", F.explode(F.sequence(F.lit(0), many - 1)).alias("band")).select(
         "did",
-        "class",
-        "marks",
         F.xxhash64(nth, F.element_at("keys", nth + 1)).alias("key"),
         F.element_at("keys", F.pmod(nth + 7, many) + 1).alias("then"),
         F.element_at("keys", F.pmod(nth + 15, many) + 1).alias("last"),
@@ -119,33 +117,23 @@ def band_pairs(nodes: DataFrame, neighbours: int, similarity: float) -> DataFram
             return pa.RecordBatch.from_arrays(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cut] * len(a))], names=["a", "b", "cut"])
 
-        def likely(mine: np.ndarray, other: np.ndarray) -> bool:
-            return not mine.size or np.count_nonzero(mine == other) >= likeness_bound(similarity, mine.size) * mine.size
-
-        # The last text of each of the latest classes of a group, the oldest class first: class -> (did, marks).
-        latest: dict[int, tuple[int, np.ndarray]] = {}
         first = key = begun = last = None
         for batch in batches:
             pairs = []
-            for did, own, kind, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                me = (did, np.frombuffer(marks, np.uint8))
+            for did, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
-                    latest, first, key = {}, (kind, me), own
+                    first, key = did, own
                     if begun is None:
                         begun = (own, did)
                 else:
-                    others = latest if first[0] in latest else latest | dict([first])
-                    pairs += [(other, did) for group, (other, seen) in others.items() if group != kind and likely(me[1], seen)]
-                latest.pop(kind, None)
-                latest[kind], last = me, did
-                if len(latest) > neighbours:
-                    del latest[next(iter(latest))]
+                    pairs += [(other, did) for other in {first, last}]
+                last = did
             if pairs:
                 yield out(pairs, False)
         if begun is not None:
             yield out([begun, (key, last)], True)
 
-    found = staged(ranged.select("did", "key", "class", "marks").mapInArrow(tidy(run), "a bigint, b bigint, cut boolean"), "pairs")
+    found = staged(ranged.select("did", "key").mapInArrow(tidy(run), "a bigint, b bigint, cut boolean"), "pairs")
     ends = found.where("cut").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("ids")).where("size(ids) > 1")
     linked = ends.select(F.explode(F.arrays_zip(
         F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
@@ -204,6 +192,143 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return joined.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit as one batch. Rows of a unit (the first three columns) follow each other."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]])
+        starts = np.concatenate([[0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            this = tuple(names[:, lo])
+            if held and this != name:
+                yield _joined(held)
+                held = []
+            name = this
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def likely_pairs(unit: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of different classes that meet first in the unit's band, and whose estimate is not too low."""
+    n = unit.num_rows
+    band, block, kind = (unit.column(c).to_numpy(zero_copy_only=False) for c in ("band", "block", "class"))
+    keys = unit.column("keys").flatten().to_numpy().reshape(n, -1)
+    meet = np.triu(kind[:, None] != kind[None, :], 1)
+    nth = int(band[0])
+    for k in range(nth + 1):
+        meet &= (keys[:, k, None] == keys[None, :, k]) == (k == nth)
+    if unit.column("lo")[0] != unit.column("hi")[0]:
+        meet &= block[:, None] != block[None, :]
+    i, j = np.nonzero(meet)
+    if len(i):
+        marks = np.frombuffer(b"".join(unit.column("marks").to_pylist()), np.uint8).reshape(n, -1)
+        least = likeness_bound(similarity, marks.shape[1])
+        keep = np.concatenate([(marks[i[k : k + 50_000]] == marks[j[k : k + 50_000]]).mean(axis=1) >= least for k in range(0, len(i), 50_000)])
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def shared_shingles(row: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
+    """(texts x texts) numbers of distinct shingles that two texts share; rows ascend."""
+    _, which, held = np.unique(value, return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    order = order[held[which[order]] < MANY]
+    few, at = which[order], row[order]
+    cells = [at[:-o][same] * texts + at[o:][same] for o in range(1, MANY) if (same := few[:-o] == few[o:]).any()]
+    shared = np.bincount(np.concatenate(cells), minlength=texts * texts).reshape(texts, texts) if cells else np.zeros((texts, texts), np.int64)
+    shared += shared.T
+    column = np.cumsum(held >= MANY) - 1
+    often = held[which] >= MANY
+    at, of = row[often], column[which[often]]
+    for start in range(0, int(of.max()) + 1 if len(of) else 0, 2048):
+        inside = (of >= start) & (of < start + 2048)
+        has = np.zeros((texts, 2048), np.float32)
+        has[at[inside], of[inside] - start] = 1
+        shared += (has @ has.T).astype(np.int64)
+    return shared
+
+
+def links(unit: pa.RecordBatch, similarity: float) -> list[tuple[int, int]]:
+    """Classes of a unit that a pair of similar texts joins; pairs that others have joined already are left out."""
+    i, j = likely_pairs(unit, similarity)
+    if not len(i):
+        return []
+    n, parts, before = unit.num_rows, [], 0
+    for part in slices(unit, unit.schema.get_field_index("text"), SLICE_BYTES):
+        row, value, times = counted(*shingles(part.column("text")))
+        parts.append((row + before, value, times))
+        before += part.num_rows
+    row, value, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+    at = np.searchsorted(row, np.arange(n + 1))
+    most = np.ones(n, np.int64)
+    np.maximum.at(most, row, times.astype(np.int64))
+    plain = (most[i] == 1) & (most[j] == 1)
+    both, sizes = shared_shingles(row, value, n)[i, j], np.diff(at)
+    alike = both / np.maximum(sizes[i] + sizes[j] - both, 1) >= similarity - 1e-9
+    kinds = unit.column("class").to_pylist()
+    above = {k: k for k in kinds}
+
+    def root(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    found = []
+    open_pairs = np.concatenate([np.flatnonzero(plain & alike), np.flatnonzero(~plain)])
+    for x, y, exact in zip(i[open_pairs].tolist(), j[open_pairs].tolist(), plain[open_pairs].tolist(), strict=True):
+        a, b = root(kinds[x]), root(kinds[y])
+        if a != b and (exact or probability_jaccard(*((value[at[k] : at[k + 1]], times[at[k] : at[k + 1]]) for k in (x, y))) >= similarity - 1e-9):
+            above[max(a, b)] = min(a, b)
+            found.append((kinds[x], kinds[y]))
+    return found
+
+
+def class_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join the classes of all similar texts (did, class, keys, marks) that meet in a band."""
+    entries = nodes.select("did", "class", F.posexplode("keys").alias("band", "value")).select(
+        "did", "class", "band", F.xxhash64("band", "value").alias("key"), F.pmod(F.xxhash64("did"), F.lit(SALTS)).alias("salt"))
+    entries = staged(entries, "entries")
+    # Sizes of groups with two classes, found in parts and spread back to the same parts.
+    parts = staged(entries.groupBy("key", "salt").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")), "parts")
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    spread = staged(parts.select("key", "salt").join(sizes.select("key", F.ceil(F.col("n") / block).alias("blocks")), "key"), "groups")
+    dealt = entries.join(spread, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("key", "did"), "blocks"))
+    members_of = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "did", "class", "band", "block")
+
+    columns = members_of.columns
+
+    def by_unit(rows_of: DataFrame) -> DataFrame:
+        return rows_of.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "did")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a likely partner in a unit need not be fetched for it."""
+        for unit in units(batches):
+            keep = np.unique(np.concatenate(likely_pairs(unit, similarity)))
+            if len(keep):
+                yield unit.select(columns).take(pa.array(keep))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            found = links(unit, similarity)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    registers = nodes.select("did", "keys", "marks")
+    sifted = staged(by_unit(members_of.join(registers, "did").select(*columns, "keys", "marks")).mapInArrow(tidy(sift), members_of.schema), "units")
+    whole = sifted.join(registers, "did").join(docs.select("did", "text"), "did")
+    return by_unit(whole.select(*columns, "keys", "marks", "text")).mapInArrow(tidy(verify), "a bigint, b bigint")
+
+
 def digest(text: Column) -> Column:
     return F.concat(F.md5(text), F.lit("-"), F.octet_length(text).cast("string"))
 
@@ -219,17 +344,15 @@ def members(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH, similarity:
     reps = parts.join(parts.groupBy("digest").agg(F.min("low").alias("rep")), "digest").select("digest", "salt", "rep")
     owned = staged(salted.join(reps, ["digest", "salt"]), "members")
     nodes = staged(owned.where("did = rep AND size(keys) > 0").select("did", "keys", "marks").dropDuplicates(["did"]), "nodes")
-    pairs = staged(band_pairs(nodes.withColumns({"class": F.col("did"), "marks": F.lit(b"")}), 1, similarity), "candidates")
+    pairs = staged(band_pairs(nodes), "candidates")
     # A text in no pair is alone in all its groups.
     met = staged(pairs.select(F.col("a").alias("did")).unionAll(pairs.select("b")).distinct(), "met")
     alone = staged(texts.join(met, "did", "left_semi").dropDuplicates(["did"]).select("did", "text"), "texts")
     likely = estimated(pairs, nodes, similarity)
     chosen = staged(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")), "chosen")
     roots = components(verified(chosen, alone, similarity))
-    again = resolve(nodes.join(met, "did", "left_semi"), "did", roots, "class")
-    rest = band_pairs(again, NEIGHBOURS, similarity).join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-    more = resolve(resolve(verified(staged(rest, "rest"), alone, similarity), "a", roots, "ra"), "b", roots, "rb")
-    higher = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    again = staged(resolve(nodes.join(met, "did", "left_semi"), "did", roots, "class"), "again")
+    higher = components(class_links(again, alone, similarity))
     final = resolve(resolve(owned.select("did", "digest", "rep"), "rep", roots, "root"), "root", higher, "class")
     return final.select("did", "digest", "class")
 

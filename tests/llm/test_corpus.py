@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lacuna.llm import (
@@ -118,6 +119,41 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert near_duplicates.classes(empty).count() == 0
 
 
+def test_hot_group_of_near_copies_equals_brute_force(spark):
+    """Chains of copies in one large group: links exist beside the first, the last and the nearest in any order."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(rows[rng.randrange(len(rows))][:120] if rows and rng.random() < 0.3 else base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(120)] = str(rng.randint(0, 10**9))
+        rows.append(words[:120] + ["x"] * 12 * (k % 10 == 0))
+    grams = [collections.Counter(zip(*(w[k:] for k in range(5)), strict=False)) for w in rows]
+
+    def alike(x, y):
+        return (x & y).total() / (x | y).total() >= 0.8  # a shingle that two texts share has the same count in both
+
+    low = list(range(len(rows)))
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if alike(grams[i], grams[j])]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                moved = True
+    hot = spark.createDataFrame([row(k, " ".join(w)) for k, w in enumerate(rows)], SCHEMA).repartition(5)
+    got = dict(map(tuple, near_duplicates.classes(hot).collect()))
+    assert len(links) > 3000 and 50 < len(set(low)) < 200
+    assert got == dict(enumerate(low))
+    # Several blocks to a group give the same links.
+    nodes = near_duplicates.sketch(hot.select(F.col("doc_id").alias("did"), "text", F.lit("").alias("digest"))).withColumn("class", F.col("did"))
+    some = near_duplicates.class_links(nodes, hot.select(F.col("doc_id").alias("did"), "text"), block=40)
+    roots = dict(map(tuple, components.components(some).collect()))
+    assert {k: roots.get(k, k) for k in range(len(rows))} == dict(enumerate(low))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]
