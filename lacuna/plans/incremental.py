@@ -33,8 +33,7 @@ def stream_dedup(i: Inputs) -> DataFrame:
     """Every event arrives three times; the first arrival is kept."""
     path, checkpoint = scratch_path(i.spark, "dedup"), scratch_path(i.spark, "dedup-mark")
     again = stream_of(i, "events").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    timed = again.withColumn("ts", F.col("ts").cast("timestamp"))
-    once = ingest.dedup_stream(timed, "event_id", "ts", "60 days")
+    once = ingest.dedup_stream(again, "event_id")
     ingest.run_to_table(once.select("event_id", "user_id", "event_type"), path, checkpoint)
     return i.spark.read.parquet(path)
 

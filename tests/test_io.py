@@ -139,3 +139,18 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert path.startswith(shared_dir(spark)) and path != scratch_path(spark, "x")
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert named is None or shared_dir(spark) == named.rstrip("/")
+
+
+def test_stream_keeps_late_ids_once(spark, tmp_path):
+    """An id far behind the latest time is new, and a copy is one however late it comes."""
+    folder, path, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "id bigint, ts timestamp"
+    batches = (
+        [(1, "2020-01-01")], [(2, "2021-01-01")], [(3, "2022-01-01")], [(4, "2020-01-02"), (1, "2022-01-02"), (2, "2021-01-01")],
+    )
+    for rows in batches:
+        new = spark.createDataFrame(rows, "id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        new.coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.arrivals(spark, folder, new.schema, "*.parquet")
+        ingest.run_to_table(ingest.dedup_stream(stream, "id"), path, mark)
+    assert sorted(r.id for r in spark.read.schema(schema).parquet(path).collect()) == [1, 2, 3, 4]
