@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, fingerprint, html_text, language, near_duplicates, packing, sharding, suffix_dedup, toxicity, url_filter
+from lacuna.llm import centroids, decontaminate, exact_dedup, fingerprint, html_text, language, near_duplicates, packing, sharding, suffix_dedup, toxicity, url_filter
 from lacuna.llm.rows import crc_rest, table
 
 #: Rules of the URL query: host, path, verdict (fixed values).
@@ -71,6 +72,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = exact_dedup.whole_hash(F.col("normal_text"))
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"), {"text_sha256": sha})
+
+
+def op13_subvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 OP5_SQL = f"""
 WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -88,6 +98,34 @@ SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM h LEFT JOIN m ON h.page_id = m.page_id
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
+"""
+
+_OP13_ROUND = """
+d{n} AS (SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM v JOIN c{n} c ON c.place = v.place GROUP BY v.row, c.cluster),
+a{n} AS (SELECT row, cluster, distance FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS rn FROM d{n}) WHERE rn = 1),
+m{n} AS (SELECT a.cluster, v.place, sum(v.x) AS total, count(*) AS n FROM a{n} a JOIN v ON v.row = a.row GROUP BY a.cluster, v.place),
+c{m} AS (SELECT c.cluster, c.place, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, c.x) AS x
+         FROM c{n} c LEFT JOIN m{n} m ON m.cluster = c.cluster AND m.place = c.place),"""
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT vec_id, embedding, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), vec_id) AS row FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+u AS (SELECT row, unnest(embedding) AS e, unnest(range(64)) AS place FROM k),
+v AS (SELECT row, place, CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) AS x FROM u),
+c0 AS (SELECT row - 1 AS cluster, place, x FROM v WHERE row <= 16),
+{"".join(_OP13_ROUND.format(n=n, m=n + 1) for n in range(4))}
+i AS (SELECT cluster, sum(distance) AS inertia FROM a3 GROUP BY cluster),
+s AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+SELECT k.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance, CAST(i.inertia AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(inertia) FROM i) AS BIGINT) AS inertia, s.centroid_sha256
+FROM k JOIN a3 a ON a.row = k.row JOIN i ON i.cluster = a.cluster JOIN s ON s.cluster = a.cluster
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_feistel": op2_feistel,
@@ -99,5 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_ppm": op9_ppm,
     "op10_packing": op10_packing,
+    "op12_refinement": op12_refinement,
+    "op13_subvectors": op13_subvectors,
 }
-SQL: dict[str, str] = {"op5_urls": OP5_SQL}
+SQL: dict[str, str] = {"op5_urls": OP5_SQL, "op12_refinement": OP12_SQL, "op13_subvectors": OP13_SQL}
