@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import centroids, decontaminate, exact_dedup, fingerprint, html_text, language, near_duplicates, packing, sharding, suffix_dedup, toxicity, url_filter
+from lacuna.llm import centroids, decontaminate, exact_dedup, fingerprint, html_text, language, near_duplicates, packing, ranked_search, sharding, suffix_dedup, toxicity, url_filter
 from lacuna.llm.rows import crc_rest, table
 
 #: Rules of the URL query: host, path, verdict (fixed values).
@@ -72,6 +72,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_fptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = exact_dedup.whole_hash(F.col("normal_text"))
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"), {"text_sha256": sha})
@@ -98,6 +102,26 @@ SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM h LEFT JOIN m ON h.page_id = m.page_id
 """
 
+_TERMS = (
+    "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+)
+OP11_SQL = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n) AS length FROM sizes),
+norms AS (SELECT doc_id, CAST(100 - 75 + (75 * n * docs) // length AS BIGINT) AS m FROM sizes, total),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY item_id, term),
+scored AS (
+  SELECT a.item_id, tf.doc_id, CAST(sum(a.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM asked a JOIN weights w ON w.term = a.term JOIN tf ON tf.term = a.term JOIN norms m ON m.doc_id = tf.doc_id
+  GROUP BY a.item_id, tf.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
@@ -137,7 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_ppm": op9_ppm,
     "op10_packing": op10_packing,
+    "op11_fptree": op11_fptree,
     "op12_refinement": op12_refinement,
     "op13_subvectors": op13_subvectors,
 }
-SQL: dict[str, str] = {"op5_urls": OP5_SQL, "op12_refinement": OP12_SQL, "op13_subvectors": OP13_SQL}
+SQL: dict[str, str] = {"op5_urls": OP5_SQL, "op11_fptree": OP11_SQL, "op12_refinement": OP12_SQL, "op13_subvectors": OP13_SQL}
