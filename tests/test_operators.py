@@ -215,7 +215,7 @@ def test_region_edge_cases(spark, edges):
     }
     df = spark.createDataFrame([(x + 127.0, y + 37.0) for x, y in points] + [(None, None)], "lon double, lat double")
     for size in (0.25, 0.125, 1.0):
-        got = spatial.region_within(df, spatial.within_index(edges, size), size).collect()
+        got = spatial.region_within(df, spatial.within_index(edges, size)).collect()
         assert {(r.lon - 127.0, r.lat - 37.0): r.region for r in got if r.lon is not None} == points
         assert [r.region for r in got if r.lon is None] == [None]
     with pytest.raises(ValueError):
