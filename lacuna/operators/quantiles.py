@@ -1,9 +1,8 @@
 """Exact quantiles of very large groups.
 
 The built-in exact percentile keeps every distinct value of a group in one task. Here values are counted
-first; a group with very many different values is cut at approximate quantiles into buckets of about equal
-size, whatever its distribution, and ranks are worked out per bucket. The result stays exact: the cuts only
-decide which task ranks a value.
+first and dealt out in ranges of (group, value) with about equal numbers of them, whatever the groups and
+distributions. Ranks are worked out inside a range; the counts of a group's earlier ranges are its offset.
 """
 
 from __future__ import annotations
@@ -13,13 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators.joins import spread_join
+from lacuna.operators.ranking import in_ranges, join_back
 from lacuna.session import staged
 
-# Groups with more different values than this are cut into BUCKETS parts.
-ROWS_PER_TASK = 100_000
-BUCKETS = 64
-
 
 def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Finite values with their number of rows (or summed weight) per group."""
@@ -32,41 +27,28 @@ def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: s
 
 def summarise(
     samples: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK, buckets: int = BUCKETS,
+    pieces: int | None = None,
 ) -> DataFrame:
-    """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles."""
+    """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles; a missing key is a group."""
     keys = list(keys)
-    counts = staged(finite_counts(samples, keys, value, weight), "value-counts")
-    totals = staged(
-        counts.groupBy(*keys).agg(
-            F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-            (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.count(F.lit(1)).alias("_values"),
+    counts = in_ranges(finite_counts(samples, keys, value, weight), [*keys, "_v"], "value-ranges", pieces)
+    parts = staged(
+        counts.groupBy(*keys, "_piece").agg(
+            F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
         ),
-        "value-totals",
+        "range-totals",
     )
-    large = totals.where(F.col("_values") > rows_per_task).select(*keys)
-    steps = [i / buckets for i in range(1, buckets)] or [0.5]
-    cuts = (
-        spread_join(counts, large, keys, ["_v"], "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_v", steps, 10_000).alias("_cuts"))
-    )
-    totals = totals.drop("_values").join(cuts, keys, "left")
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
-    valued = spread_join(counts, totals, keys, ["_v"], "inner").withColumn(
-        "_b", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-    ).drop("_cuts")
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        valued.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = valued.join(offsets, [*keys, "_b"]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("_c").over(inner), F.lit(0))
-    )
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.select(
+        *keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("n"), F.min("_min").over(whole).alias("min"), F.max("_max").over(whole).alias("max"),
+        (F.sum("_sum").over(whole) / F.sum("_n").over(whole)).alias("mean"),
+    )
+    inner = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("_c").over(inner), F.lit(0)))
+    ranked = join_back(inside, totals, [*keys, "_piece"]).withColumn("_first", F.col("_before") + F.col("_inside"))
 
     def at(rank):
         holds = (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c"))

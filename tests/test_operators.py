@@ -48,7 +48,8 @@ def test_number_rows_equals_row_number(spark):
     df = spark.createDataFrame(data, "g string, o long")
     w = Window.partitionBy("g").orderBy("o")
     want = df.withColumn("n", F.row_number().over(w) - 1)
-    assert rows(ranking.number_rows(df, ["g"], "o", "n", width=64), "g", "o", "n") == rows(want, "g", "o", "n")
+    for pieces in (None, 1, 7, 64):
+        assert rows(ranking.number_rows(df, ["g"], "o", "n", pieces=pieces), "g", "o", "n") == rows(want, "g", "o", "n")
 
 
 def test_carry_forward_equals_last(spark):
@@ -61,14 +62,23 @@ def test_carry_forward_equals_last(spark):
     assert rows(got, "g", "o", "c") == rows(want, "g", "o", "c")
 
 
-@pytest.mark.parametrize("per_task,buckets", [(100_000, 64), (10, 3), (0, 16)])
-def test_summary_equals_exact_percentile(spark, per_task, buckets):
+def test_sparse_orders_are_numbered_in_even_tasks(spark):
+    """A million orders far apart: chunks of the order column would hold one row each."""
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.col("id") * 1_000_003).alias("o"))
+    dealt = ranking.in_ranges(df, ["g", "o"], "test", pieces=16).groupBy("_piece").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
+    assert dealt[2] == 16 and dealt[1] < 2 * dealt[0]
+    assert ranking.number_rows(df, ["g"], "o", "n", pieces=16).where(F.col("n") * 1_000_003 != F.col("o")).count() == 0
+
+
+@pytest.mark.parametrize("pieces", [None, 1, 3, 40])
+def test_summary_equals_exact_percentile(spark, pieces):
     random.seed(3)
     data = [(k, random.choice([random.gauss(0, 5), 1.0, float(random.randint(0, 4))])) for k in "ab" for _ in range(151)]
+    data += [(None, float(v)) for v in range(30)]
     data += [("one", 4.0), ("nan", float("nan")), ("mix", float("inf")), ("mix", 2.0), ("mix", None), ("mix", 3.0)]
     df = spark.createDataFrame(data, "k string, v double")
     probs = {"a": 0.1, "b": 0.5, "c": 0.99}
-    summary = quantiles.summarise(df, ["k"], "v", probs, rows_per_task=per_task, buckets=buckets)
+    summary = quantiles.summarise(df, ["k"], "v", probs, pieces=pieces)
     got = {r.k: r for r in summary.collect()}
     finite = df.where("v IS NOT NULL AND NOT isnan(v) AND v < 1e300")
     want = finite.groupBy("k").agg(
