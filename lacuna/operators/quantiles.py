@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.ranking import in_ranges, join_back
-from lacuna.session import staged
 
 
 def finite_counts(samples: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -32,12 +31,9 @@ def summarise(
     """Per group: n, min, max, mean, sd (0 for one value) and interpolated (type-7) quantiles; a missing key is a group."""
     keys = list(keys)
     counts = in_ranges(finite_counts(samples, keys, value, weight), [*keys, "_v"], "value-ranges", pieces)
-    parts = staged(
-        counts.groupBy(*keys, "_piece").agg(
-            F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-            F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
-        ),
-        "range-totals",
+    parts = counts.groupBy(*keys, "_piece").agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
     )
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
