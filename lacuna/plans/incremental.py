@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators import spatial
 from lacuna.plans import duck
 from lacuna.plans.checklists import lookups
 from lacuna.plans.registry import query
-from lacuna.plans.standin import OBS, SURVEY, Inputs, exprs
+from lacuna.plans.standin import OBS, SURVEY, Inputs, exprs, select_list
 from lacuna.session import scratch_path
 from lacuna.streaming import ingest
 
@@ -18,14 +19,26 @@ def stream_of(i: Inputs, table: str) -> DataFrame:
     return ingest.arrivals(i.spark, i.folder, i.table(table).schema, f"{table}.parquet")
 
 
-@query("ingest_incremental", "SELECT event_id, user_id, event_type, value FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'")
+#: What the first landing holds: one layer not at all, the others to different days, and not all of their rows.
+_FIRST = "event_type <> 'signup' AND user_id % 4 <> 0 AND ts < TIMESTAMP_NTZ '2024-01-05 00:00:00' + make_dt_interval(length(event_type) * 2)"
+_FIRST_SQL = "event_type <> 'signup' AND user_id % 4 <> 0 AND ts < TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(length(event_type) * 2 AS INTEGER))"
+
+
+@query(
+    "ingest_incremental",
+    f""", one AS (SELECT * FROM events WHERE {_FIRST_SQL}), mark AS (SELECT event_type, max(ts) AS mark FROM one GROUP BY event_type)
+    SELECT event_id, user_id, event_type, value, 0 AS run FROM one
+    UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.value, 1 FROM events e LEFT JOIN mark m ON m.event_type = e.event_type
+      WHERE e.ts IS NOT NULL AND (m.mark IS NULL OR e.ts > m.mark)""",
+)
 def ingest_incremental(i: Inputs) -> DataFrame:
-    """Run twice on one checkpoint: the second run finds nothing new, so no row comes twice."""
-    path, checkpoint = scratch_path(i.spark, "ingest"), scratch_path(i.spark, "ingest-mark")
-    for _ in range(2):
-        rows = ingest.filter_since(stream_of(i, "events"), "ts", "2024-01-10")
-        ingest.run_to_table(rows, path, checkpoint)
-    return i.spark.read.parquet(path).select("event_id", "user_id", "event_type", "value")
+    """A layer per kind of event. The landing is read when it holds some, when it holds all, and once more without news."""
+    path = scratch_path(i.spark, "ingest")
+    events = i.table("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for rows in (events.where(_FIRST), events, events):
+        ingest.land(rows, "event_type", "ts", path)
+    by_run = ingest.landed(i.spark, path, events.schema).withColumn("run", F.regexp_extract(F.input_file_name(), "run=([0-9]+)", 1).cast("int"))
+    return by_run.select("event_id", "user_id", "event_type", "value", "run")
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
@@ -46,16 +59,25 @@ def stream_species_state(i: Inputs) -> DataFrame:
     return ingest.current_state(i.spark, path)
 
 
+#: Survey records with their position.
+_PLACED_SURVEY = SURVEY | {k: OBS[k] for k in ("lon", "lat")}
+
+
 @query(
     "stream_resolve",
     duck.LOOKUP
-    + duck.judged("v_survey", "sci_name", "kor_name", "_ord, source, sci_name, kor_name")
-    + " SELECT _ord, source, sci_name, kor_name, ktsn, how FROM judged",
+    + duck.judged(f"(SELECT {select_list(_PLACED_SURVEY)} FROM lineitem)", "sci_name", "kor_name", "_ord, source, sci_name, kor_name, lon, lat")
+    + duck.COORDS + duck.WITHIN + duck.NEAREST
+    + """, placed AS (SELECT lon, lat, code FROM inside UNION ALL SELECT lon, lat, code FROM near)
+    SELECT j._ord, j.source, j.sci_name, j.kor_name, j.ktsn, j.how, coalesce(p.code, '미상') AS region
+    FROM judged j LEFT JOIN placed p ON p.lon = j.lon AND p.lat = j.lat""",
 )
 def stream_resolve(i: Inputs) -> DataFrame:
+    """Survey records get species and region as they arrive."""
     path, checkpoint = scratch_path(i.spark, "resolve"), scratch_path(i.spark, "resolve-mark")
     lookup, overrides = lookups(i)
-    survey = stream_of(i, "lineitem").selectExpr(*exprs(SURVEY))
-    judged = ingest.resolve_stream(survey, lookup, overrides, "sci_name", "kor_name")
-    ingest.run_to_table(judged.select("_ord", "source", "sci_name", "kor_name", "ktsn", "how"), path, checkpoint)
+    survey = stream_of(i, "lineitem").selectExpr(*exprs(_PLACED_SURVEY))
+    index = spatial.build_index(spatial.polygon_edges(i.rings()))
+    judged = ingest.resolve_stream(survey, lookup, overrides, "sci_name", "kor_name", index)
+    ingest.run_to_table(judged.select("_ord", "source", "sci_name", "kor_name", "ktsn", "how", "region"), path, checkpoint)
     return i.spark.read.parquet(path)

@@ -154,3 +154,82 @@ def test_stream_keeps_late_ids_once(spark, tmp_path):
         stream = ingest.arrivals(spark, folder, new.schema, "*.parquet")
         ingest.run_to_table(ingest.dedup_stream(stream, "id"), path, mark)
     assert sorted(r.id for r in spark.read.schema(schema).parquet(path).collect()) == [1, 2, 3, 4]
+
+
+def test_marks_are_kept_for_each_layer(spark, tmp_path):
+    """Three layers in two landings and a run that broke off, against marks kept by hand; late rows and equal dates stay out."""
+    path = str(tmp_path / "landing")
+    first = [(1, "a", "2024-01-01"), (2, "a", "2024-01-03"), (3, "b", "2024-02-01"), (4, None, "2024-01-05"), (5, "b", None)]
+    grown = [*first, (6, "a", "2024-01-02"), (7, "a", "2024-01-03"), (8, "a", "2024-01-04"), (9, "c", "2020-01-01"), (10, "b", "2024-03-01"), (11, None, "2024-01-06"), (12, None, "2024-01-04")]
+
+    def table(rows):
+        raw = spark.createDataFrame(rows, "id bigint, layer string, registered string")
+        return raw.withColumn("registered", F.col("registered").cast("timestamp_ntz"))
+
+    def run_by_hand(rows, mark):
+        taken = [r for r in rows if r[2] and (r[1] not in mark or r[2] > mark[r[1]])]
+        for _, layer, day in taken:
+            mark[layer] = max(day, mark.get(layer, day))
+        return [r[0] for r in taken]
+
+    mark, want = {}, []
+    for rows in (first, grown, grown):
+        want += run_by_hand(rows, mark)
+    ingest.land(table(first), "layer", "registered", path)
+    # Rows of a run whose marks were never written do not count, and the next run writes over them.
+    table(grown).write.parquet(f"{path}/rows/run=1")
+    assert ingest.landed(spark, path, table(first).schema).count() == 4
+    assert [ingest.land(table(grown), "layer", "registered", path) for _ in range(2)] == [1, 2]
+    assert sorted(r.id for r in ingest.landed(spark, path, table(first).schema).collect()) == sorted(want)
+    kinds = table(first).schema
+    got = {r.layer: str(r.mark)[:10] for r in ingest.marks(spark, path, kinds["layer"].dataType, kinds["registered"].dataType).collect()}
+    assert got == mark
+    # The same by streams of files: each landing is a batch.
+    folder, out, check = (str(tmp_path / n) for n in ("files", "streamed", "mark"))
+    for rows in (first, grown):
+        table(rows).coalesce(1).write.mode("append").parquet(folder)
+        for _ in range(2):
+            ingest.land_stream(ingest.arrivals(spark, folder, kinds, "*.parquet"), "layer", "registered", out, check)
+    assert sorted(r.id for r in ingest.landed(spark, out, kinds).collect()) == sorted(want)
+
+
+def test_keys_seen_lie_on_disk(spark, tmp_path):
+    """Ten landings: ids are kept in an embedded store, whose files the checkpoint holds; memory does not follow the ids."""
+    folder, path, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = spark.createDataFrame([(1, "x")], "id bigint, v string").schema
+    memory = []
+    for k in range(10):
+        spark.range(k * 15_000, k * 15_000 + 20_000).selectExpr("id", "'x' AS v").coalesce(1).write.mode("append").parquet(folder)
+        with ingest.durable_state(spark):
+            query = (
+                ingest.dedup_stream(ingest.arrivals(spark, folder, schema, "*.parquet"), "id")
+                .writeStream.format("parquet").option("path", path).option("checkpointLocation", mark)
+                .outputMode("append").trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        assert "rocksdbBytesCopied" in state["customMetrics"]
+        memory.append(state["memoryUsedBytes"])
+    assert spark.read.parquet(path).count() == spark.read.parquet(path).distinct().count() == 155_000
+    assert state["numRowsTotal"] == 155_000
+    assert memory[-1] < 2 * max(memory[0], 1_000_000) + 16_000_000
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or "")
+
+
+def test_arriving_rows_get_species_and_region(spark, tmp_path):
+    """The stream gives what the batch form gives."""
+    from lacuna.plans.checklists import lookups
+
+    i = Inputs(spark, FOLDER)
+    lookup, overrides = lookups(i)
+    index = spatial.build_index(spatial.polygon_edges(i.rings()))
+    rows = i.survey().select("_ord", "sci_name", "kor_name").limit(500)
+    rows = rows.withColumns({"lon": F.expr("CASE WHEN _ord % 7 > 0 THEN 126 + _ord % 50 / 10D END"), "lat": F.expr("CASE WHEN _ord % 7 > 0 THEN 35 + _ord % 30 / 10D END")})
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    rows.write.parquet(folder)
+    stream = ingest.arrivals(spark, folder, rows.schema, "*.parquet")
+    ingest.run_to_table(ingest.resolve_stream(stream, lookup, overrides, "sci_name", "kor_name", index), out, mark)
+    batch = ingest.resolve_stream(spark.read.parquet(folder), lookup, overrides, "sci_name", "kor_name", index)
+    got = spark.read.parquet(out).select(batch.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and got.count() == 500
+    assert got.where("region <> '미상'").count() > 0 and got.where("lon IS NULL AND region <> '미상'").count() == 0
