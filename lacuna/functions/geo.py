@@ -62,6 +62,39 @@ def tm_xy(lon: Column, lat: Column, grid: TransverseMercator) -> tuple[Column, C
     )
 
 
+#: Metric grids by EPSG number (fixed values).
+GRIDS = {5186: EPSG_5186, 5179: EPSG_5179}
+
+
+def tm_lonlat(x: Column, y: Column, grid: TransverseMercator) -> tuple[Column, Column]:
+    """Position in degrees of a metric (x, y): the inverse series, true to well below a millimetre near the grid's meridian."""
+    n = GRS80_F / (2 - GRS80_F)
+    _, radius, _ = grid.series()
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630,
+    )
+    k = grid.scale * radius
+    xi0 = (y - F.lit(grid.north - grid.origin_arc())) / F.lit(k)
+    eta0 = (x - F.lit(grid.east)) / F.lit(k)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(beta, 1):
+        xi = xi - F.lit(b) * F.sin(F.lit(2.0 * j) * xi0) * F.cosh(F.lit(2.0 * j) * eta0)
+        eta = eta - F.lit(b) * F.cos(F.lit(2.0 * j) * xi0) * F.sinh(F.lit(2.0 * j) * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(delta, 1):
+        lat = lat + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
+    return F.lit(grid.lon0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+
+
+def mercator_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    """Position in degrees of a spherical web-map (x, y)."""
+    lat = F.lit(2.0) * F.atan(F.exp(y / F.lit(MERCATOR_R))) - F.lit(math.pi / 2)
+    return F.degrees(x / F.lit(MERCATOR_R)), F.degrees(lat)
+
+
 def mercator_xy(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Spherical web-map (x, y) in metres."""
     x = F.radians(lon) * F.lit(MERCATOR_R)

@@ -127,7 +127,7 @@ def test_boundaries_with_islands_and_holes(spark, tmp_path):
         ],
     }
     (tmp_path / "b.json").write_text(json.dumps(data, indent=1))
-    rings = readers.scan_boundaries(spark, str(tmp_path / "b.json"), ("CTP_KOR_NM", "SIDO_NM"), readers.boundary_schema(["SIDO_NM"]))
+    rings = readers.scan_boundaries(spark, str(tmp_path / "b.json"), ("CTP_KOR_NM", "SIDO_NM"))
     index = spatial.within_index(spatial.polygon_edges(rings))
     points = {(127.125, 37.125): "가", (127.3, 37.3): None, (127.5, 37.5): "나", (129.25, 37.25): "가", (128.5, 37.25): None}
     got = spatial.region_within(spark.createDataFrame(list(points), "lon double, lat double"), index).collect()
@@ -233,3 +233,96 @@ def test_arriving_rows_get_species_and_region(spark, tmp_path):
     got = spark.read.parquet(out).select(batch.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())) and got.count() == 500
     assert got.where("region <> '미상'").count() > 0 and got.where("lon IS NULL AND region <> '미상'").count() == 0
+
+
+def test_archives_tell_what_they_are(spark, tmp_path):
+    """Sound, ragged, damaged, truncated, empty and tableless archives: rows before the fault stay, each has one status."""
+    rows = "".join(f"N{k} x,가{k},2020-01-01,{k},2,x\n" for k in range(60_000))
+    bodies = {
+        "sound": HEADER + "A b,가,2020-01-01,1,2,x\n\nC d,나,,,,\n",
+        "ragged": HEADER + "A b\nC d,나,2020-01-01,1,2,x,more,cells\nE f,다,2020-01-01,3,4,y\n",
+        "swapped": "분류명,종명,other\n라,G h,1\n",
+        "nothing": "", "damaged": HEADER + rows,
+    }
+    for name, body in bodies.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("t.csv", body.encode("cp949"))
+    whole = (tmp_path / "damaged.zip").read_bytes()
+    (tmp_path / "truncated.zip").write_bytes(whole[: len(whole) // 2])
+    middle = len(whole) // 2
+    (tmp_path / "damaged.zip").write_bytes(whole[:middle] + b"\xff" * 64 + whole[middle + 64 :])
+    with zipfile.ZipFile(tmp_path / "tableless.zip", "w") as z:
+        z.writestr("a.txt", "x")
+    got = readers.read_archives(spark.read.format("binaryFile").load(str(tmp_path / "*.zip")))
+    status = {r.file.removesuffix(".zip"): r for r in got.status.collect()}
+    assert len(status) == 7
+    assert {k: (r.whole, r.n_rows, r.n_ragged) for k, r in status.items() if k != "damaged"} == {
+        "sound": (True, 2, 0), "ragged": (True, 3, 2), "swapped": (True, 1, 0), "nothing": (True, 0, 0),
+        "truncated": (False, 0, 0), "tableless": (False, 0, 0)}
+    broken = status["damaged"]
+    assert not broken.whole and 25_000 < broken.n_rows < 60_000 and "CRC" in broken.status and "zip" in status["truncated"].status
+    back = got.rows.where("_file = 'damaged.zip'")
+    assert back.count() == broken.n_rows and back.where("_row < 25000 AND `종명` = concat('N', _row, ' x')").count() == 25_000
+    cells = {(r["_file"], r["_row"]): (r["종명"], r["분류명"], r["생물분류"]) for r in got.rows.where("_file <> 'damaged.zip'").collect()}
+    assert cells["ragged.zip", 0] == ("A b", "", "") and cells["ragged.zip", 1] == ("C d", "나", "x")
+    assert cells["swapped.zip", 0] == ("G h", "라", "") and cells["sound.zip", 1] == ("C d", "나", "")
+
+
+def test_columns_go_by_name_in_every_file(spark, tmp_path, monkeypatch):
+    """Two orders, one column missing, a byte order mark, an empty file; read by the driver's listing and by a job."""
+    folder = tmp_path / "csv dir"
+    folder.mkdir()
+    (folder / "gbif_AV.csv").write_text("gbifID,species,year\n1,A b,2000\n2,\"C, d\",\n")
+    (folder / "gbif_MM.csv").write_text("\ufeffyear,gbifID,species\r\n2001,3,E f\r\n")
+    (folder / "gbif_VP.csv").write_text("species,gbifID\nG h,4\n")
+    (folder / "gbif_PL.csv").write_text("")
+    want = {("1", "A b", "2000", "AV"), ("2", "C, d", None, "AV"), ("3", "E f", "2001", "MM"), ("4", "G h", None, "VP")}
+    for most in (1000, 0):
+        monkeypatch.setattr(readers, "HEADER_FILES", most)
+        got = readers.scan_occurrences(spark, str(folder))
+        assert {(r.gbifID, r.species, r.year, r.file_group) for r in got.collect()} == want
+    park = tmp_path / "park"
+    park.mkdir()
+    (park / "a.csv").write_bytes((HEADER + "A b,가,2020-01-01,127.5,37.5,조류\n").encode("cp949"))
+    (park / "b.csv").write_bytes("위도,경도,종명\n36.5,126.5,C d\n".encode("cp949"))
+    rows = {(r["종명"], r["경도"], r["위도"], r["분류명"]) for r in readers.scan_cp949(spark, str(park)).collect()}
+    assert rows == {("A b", "127.5", "37.5", "가"), ("C d", "126.5", "36.5", None)}
+
+
+def test_layer_taxon_is_the_first_word(spark):
+    from lacuna.sources.readers import layer_fields
+
+    names = ["mv_map_bgts_bird_more_words_point_2022", "mv_dat_wtl_fish_point", "mv_map_bgts_bird_pyn_1", "mv_map_Bgts_bird_point", "other"]
+    df = spark.createDataFrame([(n,) for n in names], "layer string").select(*[c.alias(k) for k, c in layer_fields(F.col("layer")).items()])
+    assert [tuple(r) for r in df.collect()] == [
+        ("bgts", "bird", "point", "2022"), ("wtl", "fish", "point", None), ("bgts", "bird", "pyn", "1"), ("etc", None, None, None), ("etc", None, None, None)]
+
+
+def test_metric_boundaries_and_round_trips(spark, tmp_path):
+    from lacuna.functions import geo
+
+    df = spark.createDataFrame([(124 + 0.37 * k, 33 + 0.29 * k) for k in range(21)], "lon double, lat double")
+    for grid in geo.GRIDS.values():
+        x, y = geo.tm_xy(F.col("lon"), F.col("lat"), grid)
+        lon, lat = geo.tm_lonlat(F.col("x"), F.col("y"), grid)
+        back = df.select("lon", "lat", x.alias("x"), y.alias("y")).select("lon", "lat", lon.alias("lon2"), lat.alias("lat2"), "x", "y")
+        x2, y2 = geo.tm_xy(F.col("lon2"), F.col("lat2"), grid)
+        off = back.select(F.max(F.hypot(x2 - F.col("x"), y2 - F.col("y")))).first()[0]
+        assert off < 1e-3
+    lon, lat = geo.mercator_lonlat(*geo.mercator_xy(F.col("lon"), F.col("lat")))
+    assert df.select(F.max(F.abs(lon - F.col("lon")) + F.abs(lat - F.col("lat")))).first()[0] < 1e-9
+    for number, grid in geo.GRIDS.items():
+        corners = spark.createDataFrame([(0, 127.0, 37.0), (1, 128.0, 37.0), (2, 128.0, 38.0), (3, 127.0, 38.0)], "k int, lon double, lat double")
+        ring = [[r.x, r.y] for r in corners.select("k", *[c.alias(n) for n, c in zip("xy", geo.tm_xy(F.col("lon"), F.col("lat"), grid), strict=True)]).orderBy("k").collect()]
+        data = {
+            "type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": f"urn:ogc:def:crs:EPSG::{number}"}},
+            "features": [{"type": "Feature", "properties": {"BASE": 3, "label": "가", "x": "y"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}],
+        }
+        path = str(tmp_path / f"{number}.json")
+        (tmp_path / f"{number}.json").write_text(json.dumps(data))
+        rings = readers.scan_boundaries(spark, path, ("SIDO_NM",))
+        index = spatial.within_index(spatial.polygon_edges(rings))
+        points = spark.createDataFrame([(127.00001, 37.5), (127.9999, 37.9), (126.9999, 37.5)], "lon double, lat double")
+        assert [r.region for r in spatial.region_within(points, index).orderBy("lon").collect()] == [None, "가", "가"]
+    assert readers.name_property('{"a": 1, "Sido_Nm": "x", "b": "t"}', ("SIDO_NM",)) == "Sido_Nm"
+    assert readers.name_property('{"a": 1, "b": "t"}', ("SIDO_NM",)) == "b"
