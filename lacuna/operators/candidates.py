@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lacuna.functions import names
 from lacuna.operators.joins import spread_join
 
-MAX_CANDIDATES = 6
 MIN_LENGTH = 2
 BY_PART, BY_GENUS = "국명부분일치", "동일속"
 
@@ -20,19 +19,10 @@ def unmatched_vernacular(unmatched: DataFrame) -> Column:
     return names.vernacular_key(text)
 
 
-def _parts(text: str) -> Column:
-    """All different substrings of at least MIN_LENGTH characters."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), n - MIN_LENGTH + 1)
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(MIN_LENGTH), n - s + 1), lambda length: F.substring(F.col(text), s, length)
-            ),
-        )
-    )
-    return F.when(n >= MIN_LENGTH, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+def _bigrams(text: str) -> Column:
+    """All different pairs of neighbouring characters of a text with two characters at least."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda k: F.substring(F.col(text), k, 2))
+    return F.array_distinct(pairs)
 
 
 def _first_k(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -41,22 +31,33 @@ def _first_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def by_substring(queries: DataFrame, master: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
-    """(u_kor, ktsn, _ord): the first k checklist names containing u_kor or contained in it.
+def _containments(short: DataFrame, long: DataFrame) -> DataFrame:
+    """All (short, long) with the first contained in the second; both columns hold different texts of two characters or more.
 
-    Containment is an equality join on substrings of the longer name, so only true matches appear. Per
-    substring no more than the first k checklist rows are kept, which cannot change the first k overall.
+    A text that contains another holds all its bigrams. So each short text is looked up by the one of its bigrams that
+    fewest long texts hold, and each long text stands under all of its bigrams, as many as it has characters.
     """
+    under = long.select("long", F.explode(_bigrams("long")).alias("gram"))
+    held = under.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.select("short", F.explode(_bigrams("short")).alias("gram")).join(held, "gram", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
+    keys = asked.groupBy("short").agg(rarest).where("best.n > 0").select("short", F.col("best.gram").alias("gram"))
+    met = spread_join(under, keys, ["gram"], ["long"], "inner")
+    return met.where(F.contains("long", "short")).select("short", "long")
+
+
+def by_substring(queries: DataFrame, master: DataFrame, k: int | None = None) -> DataFrame:
+    """(u_kor, ktsn, _ord): checklist names containing u_kor or contained in it, all of them or the first k."""
     m = master.select("ktsn", "_ord", names.vernacular_key(F.col("korean_name")).alias("m_kor")).where(
         F.length("m_kor") >= MIN_LENGTH
     )
     u = queries.select("u_kor").where(F.length("u_kor") >= MIN_LENGTH).distinct()
-    longer = _first_k(m.select("ktsn", "_ord", F.explode(_parts("m_kor")).alias("u_kor")), "u_kor", k)
-    in_master = u.join(longer, "u_kor")
-    equal = _first_k(m, "m_kor", k)
-    parts = u.select("u_kor", F.explode(_parts("u_kor")).alias("m_kor"))
-    in_query = spread_join(parts, equal, ["m_kor"], ["u_kor"], "inner").select("u_kor", "ktsn", "_ord")
-    return _first_k(in_master.unionByName(in_query).distinct(), "u_kor", k)
+    listed = m.select("m_kor").distinct()
+    in_master = _containments(u.toDF("short"), listed.toDF("long")).toDF("u_kor", "m_kor")
+    in_query = _containments(listed.toDF("short"), u.toDF("long")).toDF("m_kor", "u_kor")
+    pairs = in_master.unionByName(in_query).distinct()
+    found = spread_join(pairs, m, ["m_kor"], ["u_kor"], "inner").select("u_kor", "ktsn", "_ord")
+    return found if k is None else _first_k(found, "u_kor", k)
 
 
 def query_genus() -> Column:
@@ -64,14 +65,15 @@ def query_genus() -> Column:
     return F.lower(F.regexp_extract("sci_name", "[A-Za-z]+", 0))
 
 
-def by_genus(queries: DataFrame, master: DataFrame, k: int = 2 * MAX_CANDIDATES) -> DataFrame:
-    """(genus, ktsn, _ord): the first k checklist rows of every genus asked for."""
+def by_genus(queries: DataFrame, master: DataFrame, k: int | None = None) -> DataFrame:
+    """(genus, ktsn, _ord): checklist rows of every genus asked for, all of them or the first k."""
     wanted = queries.select("genus").where("genus <> ''").distinct()
     m = master.select("ktsn", "_ord", F.lower(F.trim("genus_la")).alias("genus")).where("genus <> ''")
-    return _first_k(m.join(wanted, "genus", "left_semi"), "genus", k)
+    found = m.join(wanted, "genus", "left_semi")
+    return found if k is None else _first_k(found, "genus", k)
 
 
-def rank_candidates(unmatched: DataFrame, master: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
+def rank_candidates(unmatched: DataFrame, master: DataFrame, k: int) -> DataFrame:
     """Up to k candidates per unmatched name: name parts first, then the genus, no id twice.
 
     Of the genus list 2k rows are enough: at most k of them can repeat an earlier candidate.

@@ -280,6 +280,8 @@ def redlist_unmatched(i: Inputs) -> DataFrame:
     return redlist.match_rates(redlist.match_checklist(i.rated(), i.raw()), "group_label")
 
 
+#: Candidates that a reviewer is shown for a name (the limit of the ranking, not of its steps).
+TOP = 6
 CANDIDATES = f"""
 , um AS (
   SELECT DISTINCT sci_name, kor_name, CASE WHEN {duck.vern('kor_name')} <> '' THEN {duck.vern('kor_name')}
@@ -299,7 +301,7 @@ CANDIDATES = CANDIDATES.replace("GROUP BY ALL", "GROUP BY sci_name, kor_name, kt
 @query(
     "candidate_substring",
     CANDIDATES
-    + " SELECT u AS u_kor, ktsn FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY _ord, ktsn) AS rn FROM sub) WHERE rn <= 6",
+    + " SELECT u AS u_kor, ktsn FROM sub",
 )
 def candidate_substring(i: Inputs) -> DataFrame:
     un = i.unmatched()
@@ -310,8 +312,7 @@ def candidate_substring(i: Inputs) -> DataFrame:
 @query(
     "candidate_genus",
     CANDIDATES
-    + """, g AS (SELECT mk.*, row_number() OVER (PARTITION BY genus ORDER BY _ord, ktsn) AS rn FROM mk
-      WHERE genus <> '' AND genus IN (SELECT genus FROM um)) SELECT genus, ktsn FROM g WHERE rn <= 12""",
+    + " SELECT genus, ktsn FROM mk WHERE genus <> '' AND genus IN (SELECT genus FROM um)",
 )
 def candidate_genus(i: Inputs) -> DataFrame:
     asked = i.unmatched().select(candidates.query_genus().alias("genus"))
@@ -324,7 +325,7 @@ def candidate_genus(i: Inputs) -> DataFrame:
     + " SELECT sci_name, kor_name, CAST(rank AS INT) AS rank, CASE basis_no WHEN 0 THEN '국명부분일치' ELSE '동일속' END AS basis, ktsn FROM ranked WHERE rank <= 6",
 )
 def candidate_rank(i: Inputs) -> DataFrame:
-    return candidates.rank_candidates(i.unmatched(), i.check())
+    return candidates.rank_candidates(i.unmatched(), i.check(), TOP)
 
 
 @query(
@@ -338,5 +339,5 @@ def candidates_by_impact(i: Inputs) -> DataFrame:
     un = i.unmatched()
     n = F.coalesce(F.col("n_text").try_cast("bigint"), F.lit(0))
     counts = un.groupBy("sci_name", "kor_name").agg(F.sum(n).alias("n"))
-    ranked = candidates.rank_candidates(un, i.check()).join(counts, ["sci_name", "kor_name"])
+    ranked = candidates.rank_candidates(un, i.check(), TOP).join(counts, ["sci_name", "kor_name"])
     return candidates.by_impact(ranked, "n").select("sci_name", "kor_name", "rank", "ktsn", "n")

@@ -124,26 +124,26 @@ def species_state(i: Inputs) -> DataFrame:
 
 
 _STATUS = """
-, st AS (SELECT ktsn, max(coalesce(year, 0)) AS last_year FROM v_obs WHERE region LIKE '14%' GROUP BY ktsn)
+, st AS (SELECT ktsn, max(coalesce(year, 0)) AS last_year FROM v_obs GROUP BY ktsn)
 , stat AS (SELECT c.*, s.last_year, CASE WHEN s.last_year IS NULL THEN 'undiscovered' WHEN s.last_year > 2000 THEN 'found' ELSE 'dormant' END AS status
   FROM v_check c LEFT JOIN st s ON s.ktsn = c.ktsn)"""
 
 
 @query("discovery_status", _STATUS + " SELECT ktsn, taxon_group, coalesce(last_year, -1) AS last_year, status FROM stat")
 def discovery_status(i: Inputs) -> DataFrame:
-    state = gap.species_state(i.obs().where(F.col("region").like("14%")))
+    state = gap.species_state(i.obs())
     got = gap.with_status(i.check(), state, BUILD)
     return got.select("ktsn", "taxon_group", F.coalesce("last_year", F.lit(-1)).alias("last_year"), "status")
 
 
 @query(
     "get_species_status",
-    _STATUS + """, n AS (SELECT ktsn, CAST(sum(obs_count) AS BIGINT) AS n_obs FROM v_agg WHERE region LIKE '14%' GROUP BY ktsn)
+    _STATUS + """, n AS (SELECT ktsn, CAST(sum(obs_count) AS BIGINT) AS n_obs FROM v_agg GROUP BY ktsn)
     SELECT s.ktsn, s.scientific_name, s.status, coalesce(n.n_obs, 0) AS n_obs FROM stat s LEFT JOIN n ON n.ktsn = s.ktsn""",
 )
 def get_species_status(i: Inputs) -> DataFrame:
-    rows = agg(i).where(F.col("region").like("14%"))
-    got = gap.with_status(i.check(), gap.species_state(rows), BUILD).join(gap.found_counts(rows), "ktsn", "left")
+    state = agg(i).groupBy("ktsn").agg(F.max(F.coalesce("year", F.lit(0))).alias("last_year"), F.sum("obs_count").alias("n_obs"))
+    got = gap.with_status(i.check(), state, BUILD)
     return got.select("ktsn", "scientific_name", "status", F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
 
 
@@ -154,14 +154,14 @@ def rarely_found(i: Inputs) -> DataFrame:
 
 @query(
     "list_red_list",
-    f"SELECT {_SP}, c.ktsn IN (SELECT ktsn FROM v_obs WHERE year = 1997 AND source = 'NO') AS observed FROM v_check c WHERE c.redlist <> ''",
+    f"SELECT {_SP}, c.ktsn IN (SELECT ktsn FROM v_obs) AS observed FROM v_check c WHERE c.redlist <> ''",
 )
 def list_red_list(i: Inputs) -> DataFrame:
-    return gap.list_red_list(i.check(), i.obs().where("year = 1997 AND source = 'NO'"))
+    return gap.list_red_list(i.check(), i.obs())
 
 
 _LOOKUP = f"""
-, s AS (SELECT ktsn, count(DISTINCT region) AS n_regions, CAST(sum(obs_count) AS BIGINT) AS n_obs FROM v_agg WHERE year = 1996 GROUP BY ktsn)
+, s AS (SELECT ktsn, count(DISTINCT region) AS n_regions, CAST(sum(obs_count) AS BIGINT) AS n_obs FROM v_agg GROUP BY ktsn)
 SELECT {_SP}, coalesce(s.n_regions, 0) AS n_regions, coalesce(s.n_obs, 0) AS n_obs,
   CASE WHEN c.grade IN ('I', 'II') THEN 'graded' ELSE 'general' END AS link
 FROM v_check c LEFT JOIN s ON s.ktsn = c.ktsn WHERE contains(lower(c.korean_name), '{{0}}') OR contains(lower(c.scientific_name), '{{0}}')"""
@@ -169,12 +169,12 @@ FROM v_check c LEFT JOIN s ON s.ktsn = c.ktsn WHERE contains(lower(c.korean_name
 
 @query("species_lookup", _LOOKUP.format("나무"))
 def species_lookup(i: Inputs) -> DataFrame:
-    return gap.species_lookup(i.check(), agg(i, year=1996), "나무")
+    return gap.species_lookup(i.check(), agg(i), "나무")
 
 
 @query("search_species", _LOOKUP.format("gnb"))
 def search_species(i: Inputs) -> DataFrame:
-    return gap.species_lookup(i.check(), agg(i, year=1996), "GnB")
+    return gap.species_lookup(i.check(), agg(i), "GnB")
 
 
 @query(
@@ -204,7 +204,7 @@ def species_index(i: Inputs) -> DataFrame:
 # Marine list: names of customers' favourite species.
 _MARINE = "SELECT DISTINCT lower(concat('Gn', translate(CAST(CAST(floor(c_custkey / 4) AS BIGINT) % 197 AS STRING), '0123456789', 'abcdefghij'), ' sp', translate(CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING), '0123456789', 'abcdefghij'))) AS managed_key FROM {t} WHERE c_nationkey < 9"
 _FLAGS = f"""
-, marine AS ({_MARINE.format(t='customer')}), seen AS (SELECT DISTINCT ktsn FROM v_obs WHERE year = 1996)
+, marine AS ({_MARINE.format(t='customer')}), seen AS (SELECT DISTINCT ktsn FROM v_obs)
 , fl AS (SELECT c.ktsn, c.taxon_group, c.korean_name, c.scientific_name,
     CASE WHEN c.taxon_group = 'MM' AND (c.order_la = 'Cetacea' OR c.family_la IN ('Otariidae', 'Phocidae', 'Odobenidae', 'Dugongidae', 'Trichechidae') OR m.managed_key IS NOT NULL) THEN 'marine_mammal'
          WHEN c.taxon_group = '-P' AND m.managed_key IS NOT NULL AND s.ktsn IS NULL AND c.redlist = '' THEN 'marine_fish_unrecorded'
@@ -218,7 +218,7 @@ def marine(i: Inputs) -> DataFrame:
 
 
 def flags(i: Inputs) -> DataFrame:
-    return publish.service_flags(i.check(), marine(i), i.obs().where("year = 1996"))
+    return publish.service_flags(i.check(), marine(i), i.obs())
 
 
 @query("marine_keys", f"SELECT managed_key FROM ({_MARINE.format(t='customer')})")
@@ -311,25 +311,23 @@ def sink_csv(i: Inputs) -> DataFrame:
 
 @query(
     "sink_points",
-    "SELECT DISTINCT o.ktsn, o.source, coalesce(o.year, 0) AS year, o.region, o.lon, o.lat FROM v_obs o JOIN v_check c ON c.ktsn = o.ktsn WHERE c.taxon_group = 'AV'",
+    "SELECT DISTINCT c.taxon_group, o.ktsn, o.source, coalesce(o.year, 0) AS year, o.region, o.lon, o.lat FROM v_obs o JOIN v_check c ON c.ktsn = o.ktsn",
 )
 def sink_points(i: Inputs) -> DataFrame:
-    """Point store written, then one group read back through partition pruning."""
+    """Point store written and read back, all groups."""
     path = scratch_path(i.spark, "points")
     writers.write_points(observe.with_group(observe.distinct_points(i.obs()), i.check()), path)
     back = i.spark.read.schema(
         "ktsn bigint, source string, year int, region string, lon double, lat double, taxon_group string"
     ).parquet(path)
-    one = back.where("taxon_group = 'AV'")
-    return one.select("ktsn", "source", F.coalesce("year", F.lit(0)).alias("year"), "region", "lon", "lat")
+    return back.select("taxon_group", "ktsn", "source", F.coalesce("year", F.lit(0)).alias("year"), "region", "lon", "lat")
 
 
-@query("sink_obs_by_group", "SELECT taxon_group, ktsn, region, coalesce(year, 0) AS year, obs_count FROM v_gagg WHERE taxon_group = '-P'")
+@query("sink_obs_by_group", "SELECT taxon_group, ktsn, region, coalesce(year, 0) AS year, obs_count FROM v_gagg")
 def sink_obs_by_group(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "served")
     writers.write_by_group(publish.serve_observations(group_agg(i), BUILD), path)
-    one = i.spark.read.parquet(path).where("group_file = '_P'")
-    return one.select("taxon_group", "ktsn", "region", F.coalesce("year", F.lit(0)).alias("year"), "obs_count")
+    return i.spark.read.parquet(path).select("taxon_group", "ktsn", "region", F.coalesce("year", F.lit(0)).alias("year"), "obs_count")
 
 
 @query(

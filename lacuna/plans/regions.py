@@ -17,6 +17,12 @@ def edges(i: Inputs) -> DataFrame:
     return spatial.polygon_edges(i.rings())
 
 
+def by_survey(rows: DataFrame) -> list[DataFrame]:
+    """A table for each of two surveys, and one for all other sources, named or not."""
+    first = F.coalesce(F.substring("source", 1, 1), F.lit(""))
+    return [rows.where(first == "A"), rows.where(first == "N"), rows.where(~first.isin("A", "N"))]
+
+
 @query(
     "region_within",
     duck.COORDS + duck.WITHIN
@@ -108,14 +114,12 @@ def region_rollup(i: Inputs) -> DataFrame:
 
 @query("distinct_coords", duck.COORDS + " SELECT lon, lat FROM coords")
 def distinct_coords(i: Inputs) -> DataFrame:
-    by_source = [i.obs().where(F.col("source").startswith(s)) for s in ("A", "N", "R")]
-    return observe.distinct_coords(*by_source)
+    return observe.distinct_coords(*by_survey(i.obs()))
 
 
-@query("observed_ids", "SELECT DISTINCT ktsn FROM v_obs WHERE region LIKE '12%' OR source = 'AF' AND year = 1996")
+@query("observed_ids", "SELECT DISTINCT ktsn FROM v_obs WHERE ktsn IS NOT NULL")
 def observed_ids(i: Inputs) -> DataFrame:
-    obs = i.obs()
-    return observe.observed_ids(obs.where(F.col("region").like("12%")), obs.where("source = 'AF' AND year = 1996"))
+    return observe.observed_ids(*by_survey(i.obs()))
 
 
 _BAD_COUNT = "CASE WHEN ktsn % 97 = 0 THEN 'n/a' ELSE CAST(obs_count AS STRING) END"
@@ -132,7 +136,7 @@ def union_sources(i: Inputs) -> DataFrame:
     agg = observe.with_group(observe.obs_count(i.obs()), i.check()).selectExpr(
         "ktsn", "taxon_group", "region", f"{_TEXT_YEAR} AS year", "source", f"{_BAD_COUNT} AS obs_count"
     )
-    tables = [agg.where(F.col("source").startswith(s)) for s in ("A", "N", "R")]
+    tables = by_survey(staged(agg, "aggregates"))
     return observe.union_sources(tables).withColumn("year", F.coalesce("year", F.lit(0)))
 
 

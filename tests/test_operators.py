@@ -194,7 +194,7 @@ def test_candidates_equal_brute_force(spark):
             if len(found) < 6 and genus and g.lower() == genus and k not in found:
                 found.append(k)
         want |= {(sci, kor, r, k) for r, k in enumerate(found, 1)}
-    got = {(r.sci_name, r.kor_name, r["rank"], r.ktsn) for r in candidates.rank_candidates(u, m).collect()}
+    got = {(r.sci_name, r.kor_name, r["rank"], r.ktsn) for r in candidates.rank_candidates(u, m, 6).collect()}
     assert got == want
 
 
@@ -381,3 +381,30 @@ def test_grid_takes_groups_and_years_from_the_data(spark):
     seen = spark.createDataFrame([(1, "R", 2031), (2, "R", 1980), (3, "Q", None)], "ktsn long, region string, year int")
     got = {(r.taxon_group, r.region, r.year): (r.n_found, r.n_gap) for r in gap.gap_grid(listed, seen, seen.select("region").distinct()).collect()}
     assert len(got) == 8 and got["AA", "R", 2031] == (1, 0) and got["BB", "R", 1980] == (1, 1) and got["BB", "Q", 1980] == (0, 2)
+
+
+def test_name_parts_equal_brute_force(no_broadcast):
+    """All containments, uncapped: names of one to nine letters out of few, with common bigrams and repeated names."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("가나다라") for _ in range(rng.randint(1, 9)))
+    listed = [(k, k % 40, name()) for k in range(300)] + [(900, 1, None), (901, 2, "가 나"), (902, 2, "가나")]
+    asked = [name() for _ in range(150)] + ["가나", "가나", "", "마바"]
+    m = no_broadcast.createDataFrame(listed, "ktsn long, _ord long, korean_name string")
+    q = no_broadcast.createDataFrame([(a,) for a in asked], "u_kor string")
+    plain = [(k, o, (n or "").replace(" ", "")) for k, o, n in listed]
+    want = {(u, k, o) for u in set(asked) if len(u) > 1 for k, o, n in plain if len(n) > 1 and (u in n or n in u)}
+    got = candidates.by_substring(q, m).collect()
+    assert len(got) == len(want) and {(r.u_kor, r.ktsn, r["_ord"]) for r in got} == want
+    first = {(r.u_kor, r.ktsn) for r in candidates.by_substring(q, m, 3).collect()}
+    by_name = {}
+    for u, k, o in sorted(want, key=lambda r: (r[2], r[1])):
+        by_name.setdefault(u, []).append(k)
+    assert first == {(u, k) for u, ids in by_name.items() for k in ids[:3]}
+
+
+def test_sources_beyond_the_named_ones_stay(spark):
+    from lacuna.plans.regions import by_survey
+
+    rows = spark.createDataFrame([("AF", 1), ("NO", 2), ("RF", 3), ("", 4), (None, 5), ("x", 6)], "source string, ktsn long")
+    assert sorted(r.ktsn for t in by_survey(rows) for r in t.collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.ktsn for r in observe.observed_ids(*by_survey(rows)).collect()) == [1, 2, 3, 4, 5, 6]
