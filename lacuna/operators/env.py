@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import geo, values
@@ -115,6 +116,58 @@ def resample_bilinear(targets: DataFrame, cells: DataFrame, affine: Affine) -> D
     )
 
 
+@dataclass(frozen=True)
+class WebGrid:
+    """North-up grid in spherical web-map metres with its origin at the lower-left corner."""
+
+    x0: float
+    y0: float
+    res: float
+    rows: int
+    cols: int
+
+    def extent(self) -> tuple[float, float, float, float]:
+        """xmin, xmax, ymin, ymax, as a map overlay asks for it."""
+        return self.x0, self.x0 + self.cols * self.res, self.y0, self.y0 + self.rows * self.res
+
+
+def web_grid(
+    spark: SparkSession, affine: Affine, rows: int, cols: int, res: float | None = None, project: geo.TransverseMercator | None = None
+) -> WebGrid:
+    """The web-map grid that covers a grid of `rows` x `cols` cells in degrees, or in the metres of `project`.
+
+    Its bounds are those of points along the four sides, four to a cell. Without `res` a cell is as wide as a source cell.
+    """
+    rims = [(k / (4 * cols), j) for k in range(4 * cols + 1) for j in (0.0, 1.0)] + [(j, k / (4 * rows)) for k in range(4 * rows + 1) for j in (0.0, 1.0)]
+    at = spark.createDataFrame([(affine.x0 + u * cols * affine.res, affine.y0 + v * rows * affine.res) for u, v in rims], "x double, y double")
+    lon, lat = geo.tm_lonlat(F.col("x"), F.col("y"), project) if project else (F.col("x"), F.col("y"))
+    mx, my = geo.mercator_xy(lon, lat)
+    x0, x1, y0, y1 = at.select(mx.alias("mx"), my.alias("my")).agg(F.min("mx"), F.max("mx"), F.min("my"), F.max("my")).first()
+    res = res or (x1 - x0) / cols
+    return WebGrid(x0, y0, res, math.ceil((y1 - y0) / res), math.ceil((x1 - x0) / res))
+
+
+def web_targets(spark: SparkSession, grid: WebGrid, project: geo.TransverseMercator | None = None) -> DataFrame:
+    """Centres of the web-map cells (trow, tcol) in the source's coordinates; each row of cells is made where it is used."""
+    cells = spark.range(grid.rows).select(F.col("id").alias("trow"), F.explode(F.expr(f"sequence(0L, {grid.cols - 1}L)")).alias("tcol"))
+    lon, lat = geo.mercator_lonlat(F.lit(grid.x0) + (F.col("tcol") + 0.5) * grid.res, F.lit(grid.y0) + (F.col("trow") + 0.5) * grid.res)
+    x, y = geo.tm_xy(lon, lat, project) if project else (lon, lat)
+    return cells.select("trow", "tcol", x.alias("x"), y.alias("y"))
+
+
+def warp(cells: DataFrame, affine: Affine, grid: WebGrid, project: geo.TransverseMercator | None = None) -> DataFrame:
+    """Cells (var, row, col, value) of the web-map grid, bilinear between the source's cell centres."""
+    warped = resample_bilinear(web_targets(cells.sparkSession, grid, project), cells, affine)
+    return warped.select("var", F.col("trow").alias("row"), F.col("tcol").alias("col"), "value")
+
+
+def layer_image(
+    cells: DataFrame, affine: Affine, grid: WebGrid, palette: str, project: geo.TransverseMercator | None = None
+) -> DataFrame:
+    """Web-map cells in colours; the colours' limits come from the source grid, not from the warped one."""
+    return coloured_cells(warp(cells, affine, grid, project), grid_quantiles(cells, digits=None), palette)
+
+
 def coloured_cells(cells: DataFrame, quantiles: DataFrame, palette: str) -> DataFrame:
     """r, g, b, a per cell between the 1st and 99th percentile of its variable."""
     limits = quantiles.select("var", F.col("p01").alias("vmin"), F.col("p99").alias("vmax"))

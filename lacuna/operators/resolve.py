@@ -112,6 +112,13 @@ def resolve_names(
     return joined.select(*obs.columns, *added)
 
 
+def species_per_group(resolved: DataFrame, checklist: DataFrame) -> DataFrame:
+    """Species found and records matched per species group; only counted ids are joined to the checklist."""
+    found = resolved.where(F.col("how").isin(*MATCHED)).groupBy("ktsn").agg(F.count(F.lit(1)).alias("n"))
+    grouped = found.join(checklist.select("ktsn", "taxon_group"), "ktsn")
+    return grouped.groupBy("taxon_group").agg(F.count(F.lit(1)).alias("n_species"), F.sum("n").alias("n_records"))
+
+
 def coverage_report(
     obs: DataFrame, lookup: DataFrame, overrides: DataFrame, by: str = "source",
     sci: str = "sci_name", kor: str | None = "kor_name", year: str = "year",

@@ -202,6 +202,18 @@ def coverage_report(i: Inputs) -> DataFrame:
     return resolve.coverage_report(i.survey(), lookup, overrides)
 
 
+@query(
+    "coverage_by_group",
+    duck.LOOKUP
+    + duck.judged("v_survey", "sci_name", "kor_name", _SURVEY_COLS)
+    + """ SELECT c.taxon_group, count(DISTINCT j.ktsn) AS n_species, count(*) AS n_records FROM judged j JOIN v_check c ON c.ktsn = j.ktsn
+      WHERE j.how NOT IN ('conflict', 'none') GROUP BY c.taxon_group""",
+)
+def coverage_by_group(i: Inputs) -> DataFrame:
+    lookup, overrides = lookups(i)
+    return resolve.species_per_group(resolve.resolve_names(i.survey(), lookup, overrides), i.check())
+
+
 @query(
     "discard_list",
     duck.LOOKUP

@@ -10,6 +10,7 @@ from lacuna.operators import env, observe
 from lacuna.plans.duck import half_even
 from lacuna.plans.registry import query
 from lacuna.plans.standin import Inputs
+from lacuna.session import staged
 
 AFFINE = env.Affine(124.0, 33.0, 1 / 64)
 VARS = ("bio01", "bio12", "dem")
@@ -44,9 +45,14 @@ def _stats_sql(source: str, keys: str, digits: int, sd: bool) -> str:
     return f"SELECT {keys}, count(*) AS n, {rounded} FROM {source} WHERE value IS NOT NULL AND isfinite(value) GROUP BY {keys}"
 
 
-@query("species_env_stats", _SAMPLED + " " + _stats_sql("sm", "ktsn, var", 2, True))
+@query(
+    "species_env_stats",
+    _SAMPLED + ", st AS (" + _stats_sql("sm", "ktsn, var", 2, True)
+    + ") SELECT st.*, coalesce(c.taxon_group, '') AS taxon_group FROM st LEFT JOIN v_check c ON c.ktsn = st.ktsn",
+)
 def species_env_stats(i: Inputs) -> DataFrame:
-    return env.species_stats(site_samples(i), 2)
+    stats = observe.with_group(env.species_stats(site_samples(i), 2), i.check(), "left")
+    return stats.withColumn("taxon_group", F.coalesce("taxon_group", F.lit("")))
 
 
 @query("species_bioclim", _SAMPLED + " " + _stats_sql("sm", "ktsn, var", 3, False))
@@ -123,6 +129,36 @@ def colour_ramp(i: Inputs) -> DataFrame:
     return rgba.withColumns({c: F.round(c, 4) for c in "rgb"})
 
 
+_WEB_RES = 6000.0
+_R = geo.MERCATOR_R
+
+
+@query(
+    "layer_image",
+    f""", bl AS (SELECT var, CAST(floor("row" / 4) AS BIGINT) AS "row", CAST(floor(col / 4) AS BIGINT) AS col, avg(value) AS value FROM v_raster GROUP BY 1, 2, 3)
+    , gq AS (SELECT var, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99 FROM bl WHERE value IS NOT NULL GROUP BY var)
+    , e AS (SELECT radians(124) * {_R} AS x0, radians(124 + (max(col) + 1) / 16.0) * {_R} AS x1, ln(tan(pi() / 4 + radians(33) / 2)) * {_R} AS y0,
+        ln(tan(pi() / 4 + radians(33 + (max("row") + 1) / 16.0) / 2)) * {_R} AS y1 FROM bl)
+    , t AS (SELECT trow, tcol, degrees((x0 + (tcol + 0.5) * {_WEB_RES}) / {_R}) AS x, degrees(2 * atan(exp((y0 + (trow + 0.5) * {_WEB_RES}) / {_R})) - pi() / 2) AS y
+        FROM e, generate_series(0, CAST(ceil((y1 - y0) / {_WEB_RES}) AS BIGINT) - 1) r(trow), generate_series(0, CAST(ceil((x1 - x0) / {_WEB_RES}) AS BIGINT) - 1) c(tcol))
+    , b AS (SELECT *, (x - 124) * 16 - 0.5 AS u, (y - 33) * 16 - 0.5 AS v FROM t)
+    , n AS (SELECT trow, tcol, floor(v) + dr AS r, floor(u) + dc AS c, CASE dr WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END * CASE dc WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END AS w
+      FROM b CROSS JOIN (VALUES (0), (1)) d1(dr) CROSS JOIN (VALUES (0), (1)) d2(dc))
+    , wp AS (SELECT s.var, n.trow AS "row", n.tcol AS col, sum(w * s.value) / sum(w) AS value FROM n JOIN bl s ON s."row" = n.r AND s.col = n.c AND s.value IS NOT NULL WHERE w > 0 GROUP BY 1, 2, 3)
+    , cs AS (SELECT wp.*, least(1, greatest(0, (wp.value - q.p01) / (q.p99 - q.p01))) AS share FROM wp JOIN gq q ON q.var = wp.var)
+    SELECT var, "row", col, """
+    + ", ".join(f"round(CAST({_mix(k)} AS DOUBLE), 4) AS {c}" for k, c in enumerate("rgb"))
+    + ", CAST(1 AS INT) AS a FROM cs",
+)
+def layer_image(i: Inputs) -> DataFrame:
+    """Blocks of 4 x 4 cells, warped to the web map, coloured between the 1st and 99th percentile of the blocks."""
+    cells = staged(env.grid_aggregate(i.raster(), 4), "blocks")
+    blocks = env.Affine(AFFINE.x0, AFFINE.y0, AFFINE.res * 4)
+    size = cells.agg(F.max("row").alias("rows"), F.max("col").alias("cols")).first()
+    grid = env.web_grid(i.spark, blocks, size.rows + 1, size.cols + 1, _WEB_RES)
+    return env.layer_image(cells, blocks, grid, "temp").withColumns({c: F.round(c, 4) for c in "rgb"})
+
+
 @query(
     "env_vector",
     _SAMPLED

@@ -408,3 +408,33 @@ def test_sources_beyond_the_named_ones_stay(spark):
     rows = spark.createDataFrame([("AF", 1), ("NO", 2), ("RF", 3), ("", 4), (None, 5), ("x", 6)], "source string, ktsn long")
     assert sorted(r.ktsn for t in by_survey(rows) for r in t.collect()) == [1, 2, 3, 4, 5, 6]
     assert sorted(r.ktsn for r in observe.observed_ids(*by_survey(rows)).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_warp_reproduces_a_ramp(spark):
+    """A field that is linear in degrees, on a degree grid and on a metric one, read off at the web map's cell centres."""
+    from lacuna.functions import geo
+
+    ramp = lambda lon, lat: lon * 2 + lat * 3
+    res = 1 / 16
+    cells = [("v", r, c, ramp(127 + (c + 0.5) * res, 36 + (r + 0.5) * res)) for r in range(32) for c in range(24)]
+    degrees = spark.createDataFrame(cells, "var string, row long, col long, value double")
+    affine = env.Affine(127.0, 36.0, res)
+    grid = env.web_grid(spark, affine, 32, 24)
+    x0, x1, y0, y1 = grid.extent()
+    assert grid.cols in (24, 25) and x0 == pytest.approx(127 * geo.MERCATOR_R * 3.141592653589793 / 180) and y1 >= y0 + 32 * grid.res
+    at = [F.lit(x0) + (F.col("col") + 0.5) * grid.res, F.lit(y0) + (F.col("row") + 0.5) * grid.res]
+    lon, lat = geo.mercator_lonlat(*at)
+    inner = (lon.between(127 + res, 127 + 23 * res)) & (lat.between(36 + res, 36 + 31 * res))
+    got = env.warp(degrees, affine, grid).where(inner).select((F.col("value") - ramp(lon, lat)).alias("off")).agg(F.max(F.abs("off")), F.count("*")).first()
+    assert got[0] < 1e-9 and got[1] > 500
+    assert env.warp(degrees, affine, grid).agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()[:] == (0, grid.rows - 1, 0, 23)
+
+    metric = env.Affine(180_000.0, 400_000.0, 2000.0)
+    places = spark.range(30 * 40).select((F.col("id") % 40).alias("row"), F.expr("id DIV 40").alias("col"))
+    mlon, mlat = geo.tm_lonlat(F.lit(metric.x0) + (F.col("col") + 0.5) * metric.res, F.lit(metric.y0) + (F.col("row") + 0.5) * metric.res, geo.EPSG_5186)
+    field = places.select(F.lit("m").alias("var"), "row", "col", ramp(mlon, mlat).alias("value"))
+    grid = env.web_grid(spark, metric, 40, 30, 3000.0, geo.EPSG_5186)
+    at = [F.lit(grid.x0) + (F.col("col") + 0.5) * grid.res, F.lit(grid.y0) + (F.col("row") + 0.5) * grid.res]
+    warped = env.warp(field, metric, grid, geo.EPSG_5186).where(F.col("row").between(3, grid.rows - 4) & F.col("col").between(3, grid.cols - 4))
+    got = warped.select((F.col("value") - ramp(*geo.mercator_lonlat(*at))).alias("off")).agg(F.max(F.abs("off")), F.count("*")).first()
+    assert got[0] < 1e-4 and got[1] > 300
