@@ -73,19 +73,20 @@ def match_equal_sets(left: DataFrame, right: DataFrame) -> DataFrame:
         )
 
     def verified(pairs: DataFrame, sets: DataFrame, other: DataFrame, a: str, b: str) -> DataFrame:
-        members = spread_join(sets, pairs, [a], ["k"], "inner").join(other, [b, "k"], "left_semi")
+        # One set on the other side may stand for most ids here: its members are spread over them.
+        members = spread_join(spread_join(sets, pairs, [a], ["k"], "inner"), other, [b, "k"], [a], "left_semi")
         return members.groupBy(a, b, "n").agg(F.count(F.lit(1)).alias("_same")).where("_same = n").drop("_same")
 
     lset, rset = left.select("l_id", "k").distinct(), right.select("r_id", "k").distinct()
     fp = ["n", "f1", "f2"]
     rights = prints(rset, "r_id")
     first = rights.groupBy(*fp).agg(F.min("r_id").alias("first_id"))
-    to_first = rights.join(first, fp).select("r_id", "first_id", "n")
+    to_first = spread_join(rights, first, fp, ["r_id"], "inner").select("r_id", "first_id", "n")
     firsts = rset.withColumnRenamed("r_id", "first_id")
     same = verified(to_first, rset, firsts, "r_id", "first_id")
     # A right-hand set that only shares the fingerprint of the first one stands for itself.
     collided = rights.join(same.select("r_id"), "r_id", "left_anti").select("r_id", *fp)
     reps = first.select(F.col("first_id").alias("r_id"), *fp).unionByName(collided)
-    pairs = prints(lset, "l_id").join(reps, fp).select("l_id", "r_id", "n")
+    pairs = spread_join(prints(lset, "l_id"), reps, fp, ["l_id"], "inner").select("l_id", "r_id", "n")
     hits = verified(pairs, lset, rset, "l_id", "r_id")
     return hits.groupBy("l_id").agg(F.min("r_id").alias("r_id"), F.min("n").alias("n_keys"))

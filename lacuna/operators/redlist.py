@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import names
 from lacuna.operators.joins import spread_join
-from lacuna.operators.ranking import carry_forward
+from lacuna.operators.ranking import CHUNK, carry_forward
 
 # Category codes, group labels, header openings and edition marks of the published lists.
 CODES = ("CR", "EN", "VU", "NT", "LC", "DD", "RE", "EW", "EX", "NA", "NE")
@@ -39,31 +39,35 @@ def unglue(text: Column) -> Column:
     return F.regexp_replace(text, _GLUED, "$1 $2")
 
 
-def repair_split_label(lines: DataFrame) -> DataFrame:
+def _joined_label(head: Column, line: Column) -> Column:
+    """The line that a beginning of a label and its successor make together, NULL if they do not."""
+    out = F.lit(None).cast("string")
+    for start, rests in split_labels().items():
+        for rest, label in rests.items():
+            tail = F.regexp_replace(F.substring(line, len(rest) + 1, 2**31 - 1), r"^[ ?]+", "")
+            out = F.when((F.trim(head) == start) & line.startswith(rest), F.concat(F.lit(f"{label} "), tail)).otherwise(out)
+    return out
+
+
+def repair_split_label(lines: DataFrame, width: int = CHUNK) -> DataFrame:
     """Rejoin labels cut across two lines of (doc, line_no, line), line_no being consecutive.
 
-    Only lines that are nothing but the beginning of a label are joined with their successor.
+    Only lines that are nothing but the beginning of a label are joined with their successor. Lines are moved once, in
+    chunks of line numbers; the first and last line of a chunk also visit the chunk beside them.
     """
-    starts = split_labels()
-    here = F.trim("line")
-    heads = lines.where(here.isin(list(starts))).select(
-        "doc", F.col("line_no").alias("head_no"), here.alias("head"), (F.col("line_no") + 1).alias("line_no")
-    )
-    pairs = heads.join(lines, ["doc", "line_no"])
-    fixed = F.lit(None).cast("string")
-    for head, rests in starts.items():
-        for rest, label in rests.items():
-            tail = F.regexp_replace(F.substring(F.col("line"), len(rest) + 1, 2**31 - 1), r"^[ ?]+", "")
-            hit = (F.col("head") == head) & F.col("line").startswith(rest)
-            fixed = F.when(hit, F.concat(F.lit(f"{label} "), tail)).otherwise(fixed)
-    merged = pairs.withColumn("fixed", fixed).where("fixed IS NOT NULL")
-    replaced = merged.select("doc", F.col("head_no").alias("line_no"), "fixed")
-    consumed = merged.select("doc", "line_no")
-    return (
-        lines.join(consumed, ["doc", "line_no"], "left_anti")
-        .join(replaced, ["doc", "line_no"], "left")
-        .select("doc", "line_no", F.coalesce("fixed", "line").alias("line"))
+    chunk, place = F.floor(F.col("line_no") / width), F.pmod(F.col("line_no"), F.lit(width))
+    visits = F.array(
+        F.struct(chunk.alias("chunk"), F.lit(False).alias("visits")),
+        F.when(place == 0, F.struct((chunk - 1).alias("chunk"), F.lit(True).alias("visits"))),
+        F.when(place == width - 1, F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("visits"))),
     )
+    rows = lines.select("doc", "line_no", "line", F.inline(F.array_compact(visits)))
+    order = Window.partitionBy("doc", "chunk").orderBy("line_no")
+    here = F.struct("line_no", "line")
+    seen = rows.withColumns({"_next": F.lead(here).over(order), "_last": F.lag(here).over(order)})
+    fixed = F.when(F.col("_next.line_no") == F.col("line_no") + 1, _joined_label(F.col("line"), F.col("_next.line")))
+    taken = F.when(F.col("_last.line_no") == F.col("line_no") - 1, _joined_label(F.col("_last.line"), F.col("line")))
+    return seen.where(~F.col("visits") & taken.isNull()).select("doc", "line_no", F.coalesce(fixed, F.col("line")).alias("line"))
 
 
 def is_header(line: Column) -> Column:

@@ -438,3 +438,29 @@ def test_warp_reproduces_a_ramp(spark):
     warped = env.warp(field, metric, grid, geo.EPSG_5186).where(F.col("row").between(3, grid.rows - 4) & F.col("col").between(3, grid.cols - 4))
     got = warped.select((F.col("value") - ramp(*geo.mercator_lonlat(*at))).alias("off")).agg(F.max(F.abs("off")), F.count("*")).first()
     assert got[0] < 1e-4 and got[1] > 300
+
+
+def test_one_set_of_most_ids(no_broadcast):
+    """Nine tenths of the ids on both sides hold one set; its members are salted, and the rows are those of brute force."""
+    rng = random.Random(21)
+    pick = lambda k: "abcd" if k % 10 else "".join(rng.choices("abcdef", k=rng.randint(1, 4)))
+    lefts, rights = {k: pick(k) for k in range(600)}, {5000 + k: pick(k) for k in range(400)}
+    left = no_broadcast.createDataFrame([(i, c) for i, t in lefts.items() for c in t], "l_id int, k string")
+    right = no_broadcast.createDataFrame([(i, c) for i, t in rights.items() for c in t], "r_id int, k string")
+    want = {}
+    for i, t in lefts.items():
+        same = [j for j, u in rights.items() if set(u) == set(t)]
+        if same:
+            want[i] = (min(same), len(set(t)))
+    matched = quality.match_equal_sets(left, right)
+    assert {r.l_id: (r.r_id, r.n_keys) for r in matched.collect()} == want
+    assert "_salt" in matched._jdf.queryExecution().analyzed().toString()
+
+
+def test_split_labels_across_chunks(spark):
+    lines = [("d", k, t) for k, t in enumerate(LINES)] + [(None, k, t) for k, t in enumerate(LINES)] + [("d", None, "관속식"), ("e", 1, "관속식"), ("e", 3, "물 x"), ("e", 5, None)]
+    df = spark.createDataFrame(lines, "doc string, line_no long, line string")
+    once = sorted(map(str, redlist.repair_split_label(df).collect()))
+    assert len(once) == len(lines) - 2 and sum("관속식물 둥근잎" in r for r in once) == 2
+    for width in (1, 2, 3, 5):
+        assert sorted(map(str, redlist.repair_split_label(df, width).collect())) == once
