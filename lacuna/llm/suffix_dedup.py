@@ -5,7 +5,8 @@ contain the same least hashed 20-byte word, so a run of strings with one such wo
 its number of strings) can be sent to a shard named by the word: equal strings always meet.
 
 1. Every task lists its pieces' words without their bytes, as short hashes of the word and of what stands beside it;
-   pieces that agree with no piece of another document in the word and one side are dropped.
+   pieces that agree with no piece of another row in the word and one side are dropped. A row marks its first piece with
+   a word and sides, so that two rows count as two, whatever their keys.
 2. The pieces of the other words are cut from the texts. Equal pieces of a task are sent once, with the places where they
    stand, so that a passage shared by a third of all documents costs its text once per task.
 3. A shard builds suffix arrays (Larsson-Sadakane) of blocks of distinct pieces, takes common prefixes (Kasai) to find
@@ -118,12 +119,9 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.nda
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(row)))
     value = value[first]
-    # The word's place: where the last string of the run begins, or else the end of the first, or else in between.
+    # The word's place: the first at or behind the beginning of the run's last string, also where a text ends before it.
     where = window[first + size - 1]
-    open_ = np.flatnonzero(hashed[where] != value)
-    where[open_] = window[first[open_]] + span - 1
-    open_ = open_[hashed[where[open_]] != value[open_]]
-    where[open_] = window[first[open_]]
+    open_ = np.arange(len(where))
     while len(open_ := open_[hashed[where[open_]] != value[open_]]):
         where[open_] += 1
     side = (length - WORD) // 2
@@ -145,8 +143,9 @@ def _listed(length: int, shards: int):
             for part in slices(batch, 1, SLICE_BYTES):
                 data, at = utf8(part.column(1))
                 row, start, many, value, left, right = runs(data, at, length)
-                held.append((np.asarray(part.column(0))[row], start.astype(np.uint32), many.astype(np.uint8), value,
-                             left.astype(np.uint8), right.astype(np.uint8)))
+                left, right = left.astype(np.uint8), right.astype(np.uint8)
+                marked = start.astype(np.uint32) | (_firsts(row, value, left, right).astype(np.uint32) << 31)
+                held.append((np.asarray(part.column(0))[row], marked, many.astype(np.uint8), value, left, right))
                 size += len(data)
                 if size >= TASK_BYTES:
                     yield emit(held)
@@ -171,33 +170,45 @@ def _listed(length: int, shards: int):
     return run
 
 
-def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a key stands in more than one document."""
+def _firsts(row: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether a word stands in its row for the first time between these sides; rows are known here, not their keys."""
+    beside = (row << 16) | (left.astype(np.int64) << 8) | right
+    order = np.lexsort((value, beside))
+    first = np.ones(len(order), bool)
+    first[1:] = (value[order][1:] != value[order][:-1]) | (beside[order][1:] != beside[order][:-1])
+    out = np.empty(len(order), bool)
+    out[order] = first
+    return out
+
+
+def _several(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a key may stand in more than one row: whether it is marked as a row's first more than once."""
     order = np.argsort(key)
     new = np.ones(len(order), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     heads = np.flatnonzero(new)
-    several = np.maximum.reduceat(doc[order], heads) > np.minimum.reduceat(doc[order], heads)
+    several = np.add.reduceat(first[order].astype(np.int64), heads) > 1
     out = np.empty(len(order), bool)
     out[order] = np.repeat(several, np.diff(np.append(heads, len(order))))
     return out
 
 
 def _flag(length: int):
-    """Pieces whose word stands in more than one document, by document."""
+    """Pieces whose word may stand in more than one row, by document."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_spread(blob, f"V{KEY_BITS // 8} <u2 u1 u1 <u4 u1") for blob in table.column("listed").to_pylist()]
         doc, value, left, right, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
         doc, value = _widen(doc), value.astype(np.int64) << 8
-        keep = np.flatnonzero(_several(value | left, doc) | _several(value | right, doc))
+        first, start = start >> 31, start & np.uint32(2**31 - 1)
+        keep = np.flatnonzero(_several(value | left, first) | _several(value | right, first))
         keep = keep[np.argsort(doc[keep], kind="stable")]
-        docs, first = np.unique(doc[keep], return_index=True)
+        docs, head = np.unique(doc[keep], return_index=True)
         pieces = np.empty(len(keep), _PIECE)
         pieces["at"], pieces["size"] = start[keep], many[keep].astype(np.int64) + length - 1
         return pa.table({
             "doc": docs, "shard": np.full(len(docs), table.column("shard")[0].as_py(), np.int32),
-            "pieces": pa.array([p.tobytes() for p in np.split(pieces, first[1:])] if len(docs) else [], pa.binary())})
+            "pieces": pa.array([p.tobytes() for p in np.split(pieces, head[1:])] if len(docs) else [], pa.binary())})
 
     return run
 
@@ -363,20 +374,20 @@ def _copies(keyed: DataFrame) -> DataFrame:
 def covered_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(did, th, spans): spans to remove, overlapping ones included, null for a whole text.
 
-    `keyed` has did, th (hash of the text), doc, text. Copies are covered whole and take no part in what follows.
+    `keyed` has did, th (hash of the text), doc, text; other columns only pass through. Copies are covered whole and take no part in what follows.
     """
-    keyed = keyed.select("text", "did", "th", "doc")
+    others = [c for c in keyed.columns if c not in ("text", "did", "th", "doc")]
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, int(total // SHARD_BYTES))
     copies = staged(_copies(keyed), "copies")
     gone = copies.select(*[F.col(c).alias(f"copy_{c}") for c in ("doc", "did", "th")]).distinct().hint("merge")
-    # Partitioned by `doc` alone, as in the joins below, so that one exchange of the texts serves all three.
+    # Partitioned by `doc` alone, as in the joins below, and with all columns, so that one exchange of the texts serves all.
     same = (F.col("doc") == F.col("copy_doc")) & F.col("did").between(F.col("copy_did"), F.col("copy_did")) & F.col("th").between(F.col("copy_th"), F.col("copy_th"))
     rest = keyed.join(gone, same, "left_anti")
-    listed = rest.select("doc", "text").mapInArrow(tidy(_listed(length, shards)), LISTED)
+    listed = rest.select("doc", "text", "did", "th", *others).mapInArrow(tidy(_listed(length, shards)), LISTED)
     flagged = listed.groupBy("shard").applyInArrow(_flag(length), FLAGGED)
     asked = flagged.groupBy("doc").agg(F.collect_list(F.struct("shard", "pieces")).alias("own"))
-    sent = rest.join(asked.hint("merge"), "doc").select("did", "th", "text", "own").mapInArrow(tidy(_send(length)), SENT)
+    sent = rest.join(asked.hint("merge"), "doc").select("did", "th", "text", "own", *others).mapInArrow(tidy(_send(length)), SENT)
     found = sent.groupBy("shard").applyInArrow(_compare(length), COVERED)
     return found.unionAll(copies.where(F.col("size") >= length).select("did", "th", F.lit(None).cast("binary")))
 
@@ -441,8 +452,9 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with all their columns, without the repeated bytes; `n_chars`, if there, is counted again."""
-    others = [c for c in docs.columns if c not in ("n_chars", "text")]
-    inner = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("missing"), *others).alias("row"))
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("n_chars", "text")}
+    row = F.struct(F.col("text").isNull().alias("missing"), *[F.col(f"`{c}`").alias(own) for c, own in others.items()])
+    inner = docs.select("doc_id", "text", row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -456,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = _with_spans(_keyed(inner).select("row", "did", "th", "doc", "text"), length)
     kind = inner.schema["row"].dataType.simpleString()
     kept = joined.select("row", "did", "th", "text", "own").mapInArrow(run, f"row {kind}, kept string")
-    made = {c: F.col("row").getField(c) for c in others} | {"text": F.when(~F.col("row.missing"), F.col("kept"))}
+    made = {c: F.col("row").getField(own) for c, own in others.items()} | {"text": F.when(~F.col("row.missing"), F.col("kept"))}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     return kept.select(*[made[c].alias(c) for c in docs.columns])

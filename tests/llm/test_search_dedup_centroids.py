@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import centroids, exact_dedup, queries, ranked_search
+from lacuna.llm import centroids, exact_dedup, queries, ranked_search, suffix_dedup
 
 DOCS = "doc_id bigint, text string, key string, item bigint, score bigint, `a.b` string, _row int, normal_text string, term string"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ter") for b in ("ra", "ne", "pi", "dos", "")]
@@ -184,3 +184,30 @@ def test_clusters_of_few_and_no_vectors(spark):
 
 def test_queries_are_registered():
     assert {"op11_fptree", "op12_refinement", "op13_subvectors"} <= queries.QUERIES.keys() & queries.SQL.keys()
+
+
+def test_repeats_of_rows_with_equal_keys_and_periods(spark):
+    """A passage that only two documents share goes, also where their short keys agree, where it repeats itself, or ends a text."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, period = noise(200), noise(17) * 9
+    texts = {1: noise(300) + shared + noise(80), 2: noise(90) + shared, 3: noise(40) + period, 4: period + noise(60), 5: noise(30) + period[:75], 6: noise(25) + period[3:80] + noise(9)}
+    texts |= {7: noise(60), 8: shared[10:70]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumns({"missing": F.lit(1), "a.b": F.lit(2), "row": F.lit(3)})
+    first, want = {}, {}
+    for did, t in texts.items():
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], did)
+    for did, t in texts.items():
+        gone = {j for k in range(len(t) - 49) if first[t[k : k + 50]] < did for j in range(k, k + 50)}
+        want[did] = "".join(c for k, c in enumerate(t) if k not in gone)
+    for same in (False, True):
+        keyed = suffix_dedup._keyed(frame.select("doc_id", "text")).select("text", "did", "th", F.lit(7).cast("bigint").alias("doc") if same else "doc")
+        found = {d: [] for d in texts}
+        for r in suffix_dedup.covered_spans(keyed).collect():
+            found[r.did] += np.frombuffer(r.spans, suffix_dedup._PIECE).tolist()
+        got = {d: suffix_dedup._kept(t.encode(), suffix_dedup.removed(len(t), found[d])).decode() for d, t in texts.items()}
+        assert got == want, same
+    out = suffix_dedup.remove_repeats(frame)
+    assert out.columns == frame.columns and {r.doc_id: r.text for r in out.collect()} == want
+    assert {tuple(r) for r in out.select("missing", "`a.b`", "row").collect()} == {(1, 2, 3)}
