@@ -171,11 +171,15 @@ def _listed(length: int, shards: int):
 
 
 def _firsts(row: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether a word stands in its row for the first time between these sides; rows are known here, not their keys."""
-    beside = (row << 16) | (left.astype(np.int64) << 8) | right
-    order = np.lexsort((value, beside))
+    """Whether a word stands in its row for the first time between these sides; rows are known here, not their keys.
+
+    Pieces with one word are compared in their order, so that sides which take turns in a row count again: that only lets
+    more through.
+    """
+    order = np.argsort(value, kind="stable")
+    beside = ((row << 16) | (left.astype(np.int64) << 8) | right)[order]
     first = np.ones(len(order), bool)
-    first[1:] = (value[order][1:] != value[order][:-1]) | (beside[order][1:] != beside[order][:-1])
+    first[1:] = (value[order][1:] != value[order][:-1]) | (beside[1:] != beside[:-1])
     out = np.empty(len(order), bool)
     out[order] = first
     return out
