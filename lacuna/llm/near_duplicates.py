@@ -9,8 +9,8 @@ Texts that agree in all registers of a band meet. A first, cheap round orders a
 further bands, pairs each text with the first of its group in the task and its predecessor (groups cut by a task's bounds
 are linked at their ends), and verifies the likeliest pair of each text on the exact similarity of whole texts. It only
 closes most groups early. A second round decides all the rest: in every group that still holds two classes, each two
-texts of different classes are compared, in the first band in which they meet. Groups are dealt into blocks, and each two
-blocks are a unit of work, so no task holds a large group. A unit estimates its pairs from the registers, passes over
+texts of different classes are compared, in the first band in which they meet. Groups are dealt into blocks, the largest class of a crowded group into blocks of its own, and each two
+blocks that may hold two classes are a unit of work, so no task holds a large group. A unit estimates its pairs from the registers, passes over
 only those more than five standard deviations too low, and verifies the others on the exact similarity of whole texts.
 Rows that move are texts in units, never pairs.
 
@@ -213,7 +213,12 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    """One batch, with long offsets so that more than 2 GB of text stay in one chunk."""
+    if len(batches) == 1:
+        return batches[0]
+    wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    table = pa.Table.from_batches(batches)
+    return table.cast(pa.schema([f.with_type(wide.get(f.type, f.type)) for f in table.schema])).combine_chunks().to_batches()[0]
 
 
 def likely_pairs(unit: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -291,6 +296,25 @@ def links(unit: pa.RecordBatch, similarity: float) -> list[tuple[int, int]]:
     return found
 
 
+def blocks_of(entries: DataFrame, parts: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(key, blocks, own, giant): into how many blocks each group is dealt, and its largest class where it has `own` ones.
+
+    Texts of one class need not meet, so a large class that stands in blocks of its own meets only those of the others.
+    """
+    crowded = parts.join(sizes.where(F.col("n") > block).select("key"), "key").select("key", "salt")
+    held = entries.join(crowded, ["key", "salt"]).groupBy("key", "class").count()
+    largest = held.groupBy("key").agg(
+        F.max_by("class", F.struct("count", -F.col("class"))).alias("giant"), F.max("count").alias("inside"))
+    counts = sizes.join(largest, "key", "left").select("key", "n", "giant", F.coalesce("inside", F.lit(0)).alias("inside"))
+    counts = counts.withColumns({
+        "all": F.ceil(F.col("n") / block), "own": F.ceil(F.col("inside") / block), "rest": F.ceil((F.col("n") - F.col("inside")) / block)})
+    moved = F.col("inside") * F.col("rest") + (F.col("n") - F.col("inside")) * (F.col("rest") + F.col("own"))
+    apart = (F.col("inside") > 0) & (moved < F.col("n") * F.col("all"))
+    return counts.select(
+        "key", F.when(apart, F.col("rest")).otherwise(F.col("all")).alias("blocks"),
+        F.when(apart, F.col("own")).otherwise(0).alias("own"), F.when(apart, F.col("giant")).alias("giant"))
+
+
 def class_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join the classes of all similar texts (did, class, keys, marks) that meet in a band."""
     entries = nodes.select("did", "class", F.posexplode("keys").alias("band", "value")).select(
@@ -299,9 +323,12 @@ def class_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     # Sizes of groups with two classes, found in parts and spread back to the same parts.
     parts = staged(entries.groupBy("key", "salt").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")), "parts")
     sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    spread = staged(parts.select("key", "salt").join(sizes.select("key", F.ceil(F.col("n") / block).alias("blocks")), "key"), "groups")
-    dealt = entries.join(spread, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("key", "did"), "blocks"))
-    members_of = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+    spread = staged(parts.select("key", "salt").join(blocks_of(entries, parts, sizes, block), "key"), "groups")
+    inside, hashed = F.col("class").eqNullSafe(F.col("giant")), F.xxhash64("key", "did")
+    dealt = entries.join(spread, ["key", "salt"]).withColumn(
+        "block", F.when(inside, F.col("blocks") + F.pmod(hashed, F.greatest("own", F.lit(1)))).otherwise(F.pmod(hashed, "blocks")))
+    partners = F.col("blocks") + F.when(inside, 0).otherwise(F.col("own")) - 1
+    members_of = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), partners))).select(
         "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "did", "class", "band", "block")
 
     columns = members_of.columns
@@ -325,7 +352,7 @@ def class_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
 
     registers = nodes.select("did", "keys", "marks")
     sifted = staged(by_unit(members_of.join(registers, "did").select(*columns, "keys", "marks")).mapInArrow(tidy(sift), members_of.schema), "units")
-    whole = sifted.join(registers, "did").join(docs.select("did", "text"), "did")
+    whole = sifted.join(registers.join(docs.select("did", "text"), "did"), "did")
     return by_unit(whole.select(*columns, "keys", "marks", "text")).mapInArrow(tidy(verify), "a bigint, b bigint")
 
 
@@ -369,6 +396,7 @@ def distinct_documents(docs: DataFrame, bands: int = BANDS, depth: int = DEPTH,
     Rows without an id go if their class has one; else only equal ones among them go.
     """
     found = members(docs, bands, depth, similarity)
-    others = found.where("did <> class").select(F.col("did").alias("_did"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_digest": digest(rows.text_of())})
-    return keyed.join(others, ["_did", "_digest"], "left_anti").dropDuplicates(["_did", "_digest"]).select(*docs.columns)
+    others = found.where("did <> class").select("did", "digest").distinct()
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), digest(rows.text_of()).alias("digest"), F.struct("*").alias("row"))
+    return keyed.join(others, ["did", "digest"], "left_anti").dropDuplicates(["did", "digest"]).select("row.*")

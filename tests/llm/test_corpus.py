@@ -152,6 +152,31 @@ def test_hot_group_of_near_copies_equals_brute_force(spark):
     some = near_duplicates.class_links(nodes, hot.select(F.col("doc_id").alias("did"), "text"), block=40)
     roots = dict(map(tuple, components.components(some).collect()))
     assert {k: roots.get(k, k) for k in range(len(rows))} == dict(enumerate(low))
+    # A large class that is known already stands in blocks of its own.
+    known = {k: k if k % 3 == 0 else min(j for j in range(len(rows)) if j % 3 and low[j] == low[k]) for k in range(len(rows))}
+    classed = nodes.drop("class").join(spark.createDataFrame(list(known.items()), "did bigint, class bigint"), "did")
+    more = near_duplicates.class_links(classed, hot.select(F.col("doc_id").alias("did"), "text"), block=40)
+    roots = dict(map(tuple, components.components(more).collect()))
+    assert {k: roots.get(known[k], known[k]) for k in range(len(rows))} == dict(enumerate(low))
+
+
+def test_a_large_class_is_dealt_apart(spark):
+    """A class of 1,000 texts and five others: every text moves once or a few times, every pair of two classes meets."""
+    entries = spark.range(1005).select(
+        F.col("id").alias("did"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("class"), F.lit(7).alias("key"), (F.col("id") % 4).alias("salt"))
+    parts = entries.groupBy("key", "salt").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"))
+    (plan,) = near_duplicates.blocks_of(entries, parts, sizes, 100).collect()
+    assert (plan.blocks, plan.own, plan.giant) == (1, 10, 0)
+    (plan,) = near_duplicates.blocks_of(entries, parts, sizes, 2000).collect()
+    assert (plan.blocks, plan.own, plan.giant) == (1, 0, None)
+
+
+def test_kept_documents_keep_columns_of_any_name(docs):
+    named = docs.withColumnsRenamed({"did": "digest", "key": "row", "host": "a.b", "shard": "missing"})
+    kept = near_duplicates.distinct_documents(named)
+    assert kept.schema == named.schema
+    assert collections.Counter(kept.collect()) == collections.Counter(near_duplicates.distinct_documents(docs).collect())
 
 
 def test_components(spark):
