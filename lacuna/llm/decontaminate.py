@@ -3,13 +3,14 @@
 Text and items are lower-cased with white space as single blanks. An item of n characters may differ from a passage by
 k = n // chars_per_edit edits. Cut into k + 1 pieces, one piece must stand in the passage unchanged. The pieces of a
 block of items form one automaton that runs over every whole text; each hit fixes a window, and Myers' bit-parallel
-distance of the item to the best substring of the window decides.
+distance of the item to the best substring of the window decides. An item of fewer than `exact_below` characters has one
+piece and no edits, and must stand between word bounds, since letters inside of other words are no mention of it.
 
 Items are taken in blocks of bounded size, so what is sent to the tasks does not grow with the benchmark; documents are
 not shuffled.
 
-Defined results: missing and empty texts match nothing; items shorter than `min_chars` (as prepared) are not looked for,
-since they say nothing about a document; repeated items and rows are reported each; empty tables give no rows. Extra
+Defined results: missing and empty texts match nothing, nor do empty items; `matches` looks for every other item, `clean`
+rejects documents for items of at least `min_chars` (as prepared), since a few words say nothing about a document; repeated items and rows are reported each; empty tables give no rows. Extra
 columns of `docs` are kept by `clean` and ignored by `matches`.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.arrow import tidy
 
 CHARS_PER_EDIT = 16
+#: Items shorter than this must stand as they are; documents are not rejected for them.
 MIN_CHARS = 24
 #: Characters of the items in a block.
 BLOCK_CHARS = 8_000_000
@@ -36,6 +38,13 @@ def prepared(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def between_bounds(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit of the passage continues in the text around it."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not before and not after
+
+
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     """(offset, piece) of the item cut into edits + 1 parts of about equal length."""
     cuts = [len(item) * k // (edits + 1) for k in range(edits + 2)]
@@ -71,10 +80,11 @@ def substring_distance(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Items of one block, their pieces and budgets."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, exact_below: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(item_id, text, len(text) // chars_per_edit) for item_id, text in items]
+        self.exact_below = exact_below
+        self.items = [(item_id, text, len(text) // chars_per_edit if len(text) >= exact_below else 0) for item_id, text in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, edits) in enumerate(self.items):
             for offset, piece in pieces(text, edits):
@@ -91,6 +101,8 @@ class Matcher:
             for k, offset in at:
                 _, item, edits = self.items[k]
                 start = last + 1 - size - offset
+                if len(item) < self.exact_below and (k in found or not between_bounds(text, start, last + 1)):
+                    continue
                 found[k].append((start - edits, start + len(item) + edits))
         for k, spans in found.items():
             spans.sort()
@@ -133,13 +145,13 @@ def _blocks(items: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]
             yield block
 
 
-def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, exact_below: int = MIN_CHARS) -> DataFrame:
     """The closest passage of each item in each document that holds one within the budget."""
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for block in _blocks(items, min_chars):
+    for block in _blocks(items, 1):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, chars_per_edit)
+            matcher = Matcher(block, chars_per_edit, exact_below)
             for batch in batches:
                 rows = []
                 for k in range(batch.num_rows):
