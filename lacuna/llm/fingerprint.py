@@ -1,7 +1,8 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
 Terms (runs of letters and digits, lower-cased) whose inverse document frequency over all documents lies in a band
-form the lexicon. Each of `subsets` random parts of the lexicon holds a term with chance 1 / `thinning`. A document's
+form the lexicon. Every term falls at random into one of `subsets` parts of the lexicon, and into each other one with
+chance 1 / `thinning`, so no term of the band is left out and parts overlap at random. A document's
 distinct terms in a part, sorted and hashed, give one field of its fingerprint; likeness is the share of fields that
 agree among those which either side fills. A text without any term of the lexicon is hashed whole into the first field.
 
@@ -23,7 +24,7 @@ from lacuna.llm import rows
 from lacuna.session import staged
 
 SUBSETS = 32
-THINNING = 48
+THINNING = 192
 IDF_BAND = (1.5, 8.0)
 BROADCAST_TERMS = 1_000_000
 ROWS_PER_CHUNK = 2_000
@@ -43,7 +44,9 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, subsets: int
         .groupBy(F.xxhash64("t").alias("term")).count()
         .where(F.col("count").between(least, max(most, 1.0)))
     )
-    held = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: F.pmod(F.xxhash64("term", j), F.lit(thinning)) == 0)
+    own = F.pmod(F.xxhash64("term", F.lit(subsets)), F.lit(subsets)).cast("int")
+    held = F.filter(
+        F.sequence(F.lit(0), F.lit(subsets - 1)), lambda j: (j == own) | (F.pmod(F.xxhash64("term", j), F.lit(thinning)) == 0))
     return staged(counted.select("term", F.explode(held).alias("subset")), "lexicon")
 
 

@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -212,6 +214,52 @@ def test_decontamination(spark, docs, empty):
         assert decontaminate.substring_distance(p, t)[0] == min(line)
 
 
+def test_matches_equal_brute_force(spark):
+    """Every item against every text by the whole table of edit distances; short ones by a search between word bounds."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    items = [letters(rng.randint(1, 70)) for _ in range(60)] + ["ab", "ab", "c", "a", "  ", "", None, "É é", "(a)"]
+    texts = []
+    for _ in range(60):
+        text = letters(rng.randint(0, 120))
+        for item in rng.sample([i for i in items if i], 3):
+            broken = list(item)
+            for _ in range(rng.randint(0, 4)):
+                broken[rng.randrange(len(broken))] = rng.choice(["", "a", "b", "cc"])
+            text += rng.choice(["", " "]) + "".join(broken) + rng.choice(["", " ", letters(9)])
+        texts.append(text)
+    texts += ["", None, "AB", "x(a)b", "É É é", "b" * 5000 + " ab"]
+
+    def least(p, t):
+        line = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(line[j] + (c != d), line[j + 1] + 1, new[j] + 1))
+            line = new
+        return line
+
+    want = {}
+    for i, item in enumerate(items):
+        item = " ".join((item or "").lower().split())
+        for k, text in enumerate(texts):
+            text = " ".join((text or "").lower().split())
+            if 0 < len(item) < 24:
+                head = r"(?<!\w)" if item[0].isalnum() else ""
+                tail = r"(?!\w)" if item[-1].isalnum() else ""
+                if re.search(head + re.escape(item) + tail, text):
+                    want[k, i] = 0
+            elif item and (best := min(least(item, text))) <= len(item) // 16:
+                want[k, i] = best
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    found = decontaminate.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in found} == want and len(found) == len(want)
+    assert sum(len(items[i]) < 24 for _, i in want) > 50 and sum(d > 0 for d in want.values()) > 10
+    for r in found:
+        passage = decontaminate.prepared(texts[r.doc_id])[r.match_start : r.match_end]
+        assert least(decontaminate.prepared(items[r.item_id]), passage)[-1] <= r.distance
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -270,6 +318,46 @@ def test_fingerprints(docs, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """Lexicon, fields and likenesses recomputed from the texts; the parts that hold a term are taken as drawn."""
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randint(0, 25)) for _ in range(40)]
+    texts += [texts[3], texts[3] + " Kara", "?!", None, "zzz yyy", "zzz yyy", "Ñandú lora"]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    band, subsets = (0.8, 3.0), 6
+    lexicon = {tuple(r) for r in fingerprint.lexicon(docs, band, subsets, 5).collect()}
+    terms = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w}
+    held = collections.Counter(w for t in texts for w in terms(t))
+    name = {w: np.uint64(xxhash.xxh64_intdigest(w, seed=42)).astype(np.int64).item() for w in held}
+    inside = {w for w, n in held.items() if np.exp(-band[1]) <= n / len(texts) <= np.exp(-band[0])}
+    assert {t for t, _ in lexicon} == {name[w] for w in inside} and 10 < len(inside) < len(held)
+    assert all(0 <= j < subsets for _, j in lexicon) and len(lexicon) > len(inside)
+
+    def fields(t):
+        own = [frozenset(w for w in terms(t) & inside if (name[w], j) in lexicon) for j in range(subsets)]
+        return own if any(own) else [t or "", *own[1:]]
+
+    def alike(a, b):
+        pairs = [x == y for x, y in zip(fields(a), fields(b), strict=True) if x or y or isinstance(x, str) or isinstance(y, str)]
+        return sum(pairs) / len(pairs)
+
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs, band, subsets, 5).collect()}
+    seen = [collections.defaultdict(set) for _ in range(subsets)]
+    for k, t in enumerate(texts):
+        after = texts[k - 1] or ""
+        half = len(t or "") // 2
+        edited = (t or "")[: len(t or "") - half] + after[:half]
+        for text, made in ((t, got[k].fingerprint), (edited, got[k].edited_fingerprint)):
+            for j, (content, field) in enumerate(zip(fields(text), made.split("-"), strict=True)):
+                seen[j][content].add(field)
+                assert bool(field) == (bool(content) or isinstance(content, str))
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[k].near_edited - alike(t, edited)) < 1e-9
+        assert abs(got[k].near_next - alike(t, texts[k - 1])) < 1e-9
+    for of in seen:
+        assert all(len(f) == 1 for f in of.values()) and len({min(f) for f in of.values()}) == len(of)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, shards=5).collect()
     slots = collections.defaultdict(list)
