@@ -469,7 +469,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_kept(text.encode(), removed(len(text.encode()), gone)).decode("utf-8", "ignore") if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "kept"])
 
-    joined = _with_spans(_keyed(inner).select("row", "did", "th", "doc", "text"), length)
+    # In the order in which the joins read them: only then is the one exchange of the texts used again.
+    joined = _with_spans(_keyed(inner).select("text", "row", "did", "th", "doc"), length)
     kind = inner.schema["row"].dataType.simpleString()
     kept = joined.select("row", "did", "th", "text", "own").mapInArrow(run, f"row {kind}, kept string")
     made = {c: F.col("row").getField(own) for c, own in others.items()} | {"text": F.when(~F.col("row.missing"), F.col("kept"))}

@@ -91,6 +91,15 @@ def test_repeats_equal_brute_force(docs, empty):
     assert out.schema == docs.schema and out.count() == docs.count()
 
 
+def test_texts_are_exchanged_once(docs):
+    for made in (suffix_dedup.remove_repeats(docs), suffix_dedup.spans(docs)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        moved = [line for line in plan.splitlines() if re.search(r"\bExchange hashpartitioning\(doc#", line)]
+        assert sum("ReusedExchange" not in line for line in moved) == 2  # the texts and the flagged pieces
+        assert sum("ReusedExchange" in line for line in moved) == 2
+
+
 def test_near_duplicates_equal_brute_force(docs, empty):
     rows = [(2**63 - 1 if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()]
 
