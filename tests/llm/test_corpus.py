@@ -419,6 +419,43 @@ def test_html_table(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_repeats_do_not_depend_on_shards(spark):
+    rng = random.Random(11)
+    bodies = [sentence(rng, rng.randint(9, 30)) for _ in range(60)]
+    for k in range(0, 40, 2):  # a passage of its own on two pages, across blocks on one of them
+        passage = sentence(rng, 10).split()
+        bodies[k] += " " + " ".join(passage)
+        bodies[59 - k] = " ".join(passage[:4]) + "</p><p>" + " ".join(passage[4:]) + " " + bodies[59 - k]
+    rows = [(k, f"http://{'a.b' if k < 55 else 'c.d'}/{k}", f"<p>{b}</p>") for k, b in enumerate(bodies)]
+    rows += [(100 + k, f"http://a.b/copy/{k}", rows[7][2]) for k in range(30)] + [(200, None, None), (201, "http://a.b/", "")]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id bigint, url string, html string")
+
+    def brute(least):
+        hosts = collections.defaultdict(lambda: collections.defaultdict(set))
+        split = {r[0]: [b.split() for b in html_text.blocks(r[2] or "")[1]] for r in rows}
+        host = {r[0]: (r[1] or "://").split("/")[2] for r in rows}
+        for k, parts in split.items():
+            tokens = sum(parts, [])
+            for at in range(len(tokens) - least + 1):
+                hosts[host[k]][tuple(tokens[at : at + least])].add(str(parts))
+        out = {}
+        for k, parts in split.items():
+            tokens = sum(parts, [])
+            gone = {i for at in range(len(tokens) - least + 1) if len(hosts[host[k]][tuple(tokens[at : at + least])]) > 1 for i in range(at, at + least)}
+            kept, at = [], 0
+            for p in parts:
+                kept.append(" ".join(w for i, w in enumerate(p, at) if i not in gone))
+                at += len(p)
+            out[k] = "\n\n".join(b for b in kept if b)
+        return out
+
+    want = brute(6)
+    assert any(want[k] != bodies[k].replace("</p><p>", "\n\n") for k in range(40))
+    for shard_pages in (400, 3):
+        got = html_text.extract(pages, 6, shard_pages).collect()
+        assert len(got) == len(rows) + 1 and {r.page_id: r.text for r in got} == want
+
+
 def test_toxicity_and_language(spark, docs, empty):
     rng = random.Random(3)
     rows, marks = [], []
