@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import gap, observe, publish, spatial
 from lacuna.plans.standin import Inputs
-from lacuna.session import scratch_path, shared_dir
+from lacuna.session import scratch_path, shared_dir, tune
 from lacuna.sources import readers, writers
 from lacuna.streaming import ingest
 
@@ -326,3 +326,14 @@ def test_metric_boundaries_and_round_trips(spark, tmp_path):
         assert [r.region for r in spatial.region_within(points, index).orderBy("lon").collect()] == [None, "가", "가"]
     assert readers.name_property('{"a": 1, "Sido_Nm": "x", "b": "t"}', ("SIDO_NM",)) == "Sido_Nm"
     assert readers.name_property('{"a": 1, "b": "t"}', ("SIDO_NM",)) == "b"
+
+
+def test_tasks_have_a_bounded_share(spark):
+    """The session has four shuffle partitions; 30 MB and more are dealt to more tasks."""
+    tune(spark)
+    points = spark.range(1_500_000).select(
+        F.md5(F.col("id").cast("string")).alias("ktsn"), F.lit("s").alias("source"), F.lit(2000).alias("year"), F.lit("r").alias("region"),
+        F.col("id").cast("double").alias("lon"), F.col("id").cast("double").alias("lat"),
+    )
+    assert observe.distinct_points(points).rdd.getNumPartitions() > 4
+    assert len({p for (p,) in observe.obs_count(points.where("id < 1000")).select(F.spark_partition_id()).collect()}) <= 4
