@@ -67,7 +67,8 @@ def _survey_json(i: Inputs) -> DataFrame:
 def scan_survey_json(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "survey")
     named = _survey_json(i).withColumn("file", F.concat(F.lit("ecobank_"), "layer"))
-    named.select("file", "value").write.partitionBy("file").text(path)
+    # The lines are written once and read once; a part file holds the lines of one task, so it need not be split.
+    named.select("file", "value").write.partitionBy("file").option("compression", "gzip").text(path)
     raw = readers.scan_survey(i.spark, f"{path}/*", by_folder=True)
     return observe.survey_rows(raw).select("_ord", "sci_name", "kor_name", "source", "lon", "lat")
 

@@ -2,12 +2,14 @@
 
 import json
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from lacuna.operators import gap, observe, publish, spatial
+from lacuna.plans.scans import scan_survey_json
 from lacuna.plans.standin import Inputs
-from lacuna.session import scratch_path, shared_dir, tune
+from lacuna.session import run_folder, scratch_path, shared_dir, tune
 from lacuna.sources import readers, writers
 from lacuna.streaming import ingest
 
@@ -337,3 +339,18 @@ def test_tasks_have_a_bounded_share(spark):
     )
     assert observe.distinct_points(points).rdd.getNumPartitions() > 4
     assert len({p for (p,) in observe.obs_count(points.where("id < 1000")).select(F.spark_partition_id()).collect()}) <= 4
+
+
+def test_survey_lines_are_written_compressed(spark, tmp_path):
+    rows = [(k, k % 50, k % 7, 1 + k // 3 % 5, 5.0, "ANR"[k % 3], "OF"[k % 2]) for k in range(1, 200)]
+    lines = spark.createDataFrame(
+        rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    ).withColumn("l_shipdate", F.expr("timestamp_ntz'1995-03-04 00:00:00'"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = set(Path(run_folder(spark)).glob("survey-*"))
+    got = scan_survey_json(Inputs(spark, str(tmp_path))).collect()
+    (folder,) = set(Path(run_folder(spark)).glob("survey-*")) - before
+    files = list(folder.glob("*/part-*"))
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert sorted(r._ord for r in got) == sorted(k * 8 + 1 + k // 3 % 5 for k in range(1, 200))
+    assert {r.source for r in got} == {"bgts", "ecpe", "ntee", "wtl", "etc"}
