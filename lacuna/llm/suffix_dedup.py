@@ -53,6 +53,8 @@ BLOCK_BYTES = 1_000_000
 SALTS = 32
 #: Documents are asked for by a key of so many bits; one that shares a key only sends more pieces.
 KEY_BITS = 32
+#: Of a word's hash, 16 bits are listed from here on. A least hash is small, so its highest bits hardly tell words apart.
+VALUE_SHIFT = 32
 
 LISTED = "shard int, listed binary"
 FLAGGED = "doc bigint, shard int, pieces binary"
@@ -163,7 +165,7 @@ def _listed(length: int, shards: int):
             own = order[bounds[k] : bounds[k + 1]]
             if len(own):
                 out.append((k, _squeeze(
-                    _low_bytes(doc[own], KEY_BITS // 8), (value[own] >> np.uint64(48)).astype("<u2"), left[own], right[own], start[own], many[own])))
+                    _low_bytes(doc[own], KEY_BITS // 8), (value[own] >> np.uint64(VALUE_SHIFT)).astype("<u2"), left[own], right[own], start[own], many[own])))
         columns = list(zip(*out, strict=True)) or [[]] * 2
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["shard", "listed"])
 

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,15 @@ def test_repeats_of_rows_with_equal_keys_and_periods(spark):
     out = suffix_dedup.remove_repeats(frame)
     assert out.columns == frame.columns and {r.doc_id: r.text for r in out.collect()} == want
     assert {tuple(r) for r in out.select("missing", "`a.b`", "row").collect()} == {(1, 2, 3)}
+
+
+def test_unlike_pieces_are_hardly_let_through():
+    """Random texts share no string: of the pieces of one shard only chance agreement of the listed hashes lets some through."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000).tolist())) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    listed = pa.Table.from_batches(list(suffix_dedup._listed(50, 1)(iter([batch]))))
+    many = sum(len(suffix_dedup._spread(blob, "V4 <u2 u1 u1 <u4 u1")[0]) for blob in listed.column("listed").to_pylist())
+    flagged = suffix_dedup._flag(50)(listed)
+    through = sum(len(p) for p in flagged.column("pieces").to_pylist()) // suffix_dedup._PIECE.itemsize
+    assert many > 30_000 and through < many / 50
